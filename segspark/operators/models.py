@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.session import scratch_dir
+
 OLS_SCHEMA = ("model string, term string, estimate double, std_error double, t double, p double, "
               "n long, r2 double, rss double, bic double")
 
@@ -160,16 +162,21 @@ def bic_simple(df: DataFrame, response: Column, predictors: Mapping[str, Column]
 def logit(df: DataFrame, response: Column, terms: Mapping[str, Column], max_iter: int = 50) -> DataFrame:
     """Binomial regression with logit link: term and estimate.
 
-    Iteratively reweighted least squares; every step is one distributed aggregate.
+    The rows are first counted by distinct (response, terms) and that table is written to the
+    shared scratch folder: every step of the reweighted least squares then reads the short
+    weighted table instead of repeating what built ``df``, also after a lost executor.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    names = list(terms)
+    spark, names = df.sparkSession, list(terms)
     ready = df.where(_finite({"y": response, **terms})).select(
         response.cast("double").alias("label"), *[c.cast("double").alias(n) for n, c in terms.items()])
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("label", "features")
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=1e-10).fit(data)
+    path = scratch_dir(spark, "logit")
+    ready.groupBy("label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight")).write.parquet(path)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(spark.read.parquet(path))
+    fit = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=max_iter, tol=1e-10)
+    model = fit.fit(data.select("label", "features", "weight"))
     rows = [("(Intercept)", float(model.intercept))]
     rows += [(n, float(b)) for n, b in zip(names, model.coefficients)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double")
+    return spark.createDataFrame(rows, "term string, estimate double")

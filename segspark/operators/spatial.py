@@ -112,13 +112,12 @@ def overlay_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float,
         coarser = F.sequence(own, top) if p == "_a" else F.when(own < top, F.sequence(own + 1, top))
         at_own = F.array(own)
         ways = {above_own: coarser, 1 - above_own: at_own}
-        entries = F.flatten(F.array(*[
-            F.transform(
-                F.coalesce(ways[w], F.array().cast("array<int>")),
-                lambda lv, w=w: F.struct(F.lit(w).alias("w"), lv.alias("lv")),
-            )
-            for w in (0, 1)
-        ]))
+
+        def tagged(w: int) -> Column:
+            levels = F.coalesce(ways[w], F.array().cast("array<int>"))
+            return F.transform(levels, lambda lv: F.struct(F.lit(w).alias("w"), lv.alias("lv")))
+
+        entries = F.concat(tagged(0), tagged(1))
         df = df.withColumn("_e", F.explode(entries))
         df = df.withColumn("_way", F.col("_e.w")).withColumn("_level", F.col("_e.lv")).drop("_e")
         size = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("_level") + 1)
