@@ -31,7 +31,7 @@ def expand_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "k"
 
 def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str, value: str,
                    n_sims: int, seed: int, carry: Sequence[str] = (),
-                   bucket_rows: int = 50_000, block: int = 8_192) -> DataFrame:
+                   bucket_rows: int = 50_000, block: int = 8_192, counted: bool = True) -> DataFrame:
     """Counts per (sim, stratum, leaf, group) after a random pairing of people and places.
 
     Everybody of a leaf gets a rank by the digest of (seed, sim, leaf, number), and the groups
@@ -41,12 +41,13 @@ def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: st
     No stratum is sorted as a whole. Ranks come from ranges of the digest: rows per range, a
     running sum over the ranges, and a row number inside each. How many ranges a stratum gets
     grows with its size. Groups own intervals of ranks; both sides meet on blocks of ranks.
-    ``carry`` are columns of the leaf (such as its mid) to keep.
+    ``carry`` are columns of the leaf (such as its mid) to keep. ``counted=False`` leaves one row
+    per person with value 1, for a measure that sums the cells itself.
     """
     strata, carry = list(strata), list(carry)
-    counted = cells.where(F.col(value) > 0)
-    leaves = counted.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
-    margins = counted.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n"))
+    filled = cells.where(F.col(value) > 0)
+    leaves = filled.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
+    margins = filled.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n"))
 
     # Hex digits of the digest that name the range: 16^digits ranges of about bucket_rows.
     totals = leaves.groupBy(*strata).agg(F.sum("_v").alias("_N"))
@@ -76,4 +77,6 @@ def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: st
     paired = ranked.join(spans, [*strata, "_block"]).where(
         (F.col("_rank") >= F.col("_from")) & (F.col("_rank") <= F.col("_to"))
     )
+    if not counted:
+        return paired.select("sim", *strata, leaf, *carry, group, F.lit(1).cast("long").alias("value"))
     return paired.groupBy("sim", *strata, leaf, *carry, group).agg(F.count(F.lit(1)).alias("value"))
