@@ -82,16 +82,22 @@ def bandwidth(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _with_range(df: DataFrame, value: str) -> DataFrame:
+    """Smallest and largest value of the column as ``_lo`` and ``_hi``: one scalar subquery."""
+    ends = df.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")))
+    return df.withColumn("_e", ends.scalar()).withColumns({"_lo": F.col("_e.lo"), "_hi": F.col("_e.hi")}).drop("_e")
+
+
 def density_curve(df: DataFrame, by: str, value: str, points: int = 512, mass_points: int = 1024) -> DataFrame:
     """Gaussian kernel density of ``value`` per group on a common grid of ``points``.
 
     Every row puts its weight on the two nearest of ``mass_points`` grid positions (linear
     binning), so the kernel runs over a table of fixed size instead of over rows x points.
+    The range, the spread and the masses are separate passes: give a written table where
+    ``df`` is expensive.
     """
     known = df.where(F.col(value).isNotNull()).select(F.col(by), F.col(value).cast("double").alias("_x"))
-    ends = known.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    placed = known.withColumns({"_lo": lo, "_hi": hi})
+    placed = _with_range(known, "_x")
     step = (F.col("_hi") - F.col("_lo")) / float(mass_points - 1)
     at = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), step), F.lit(0.0))
     left = F.least(F.floor(at), F.lit(mass_points - 2))
@@ -116,9 +122,7 @@ def density_curve(df: DataFrame, by: str, value: str, points: int = 512, mass_po
 
 def equal_width_bins(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Bin number of every row over the range of the whole column (a scalar subquery)."""
-    ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    df = df.withColumns({"_lo": ends.select("lo").scalar(), "_hi": ends.select("hi").scalar()})
-    return df.withColumn(
+    return _with_range(df, value).withColumn(
         out, equal_width_bin(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), bins)
     ).drop("_lo", "_hi")
 

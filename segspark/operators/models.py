@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.session import scratch_dir
@@ -59,25 +59,25 @@ def t_two_sided(t: float, df: float) -> float:
     return 1.0 - front * _beta_cf(b, a, 1.0 - x) / b
 
 
-def _solve(names: Sequence[str], label: str, row: pd.Series) -> list[tuple]:
+def _solve(names: Sequence[str], label: str, row: pd.Series, tag: str) -> list[tuple]:
     """Coefficients from means and covariances of one model (p x p numbers)."""
-    k, n = len(names), int(row["n"])
+    k, n, my, yy = len(names), int(row["n" + tag]), row["my" + tag], row["yy" + tag]
     S = np.empty((k, k))
     for i in range(k):
         for j in range(k):
             a, b = min(i, j), max(i, j)
-            S[i, j] = row[f"c{a}_{b}"]
-    sy = np.array([row[f"y{i}"] for i in range(k)])
-    means = np.array([row[f"m{i}"] for i in range(k)])
+            S[i, j] = row[f"c{a}_{b}{tag}"]
+    sy = np.array([row[f"y{i}{tag}"] for i in range(k)])
+    means = np.array([row[f"m{i}{tag}"] for i in range(k)])
     inv = np.linalg.inv(S)
     beta = inv @ sy
-    rss = max((n - 1) * (row["yy"] - beta @ sy), 0.0)
-    tss = (n - 1) * row["yy"]
+    rss = max((n - 1) * (yy - beta @ sy), 0.0)
+    tss = (n - 1) * yy
     dof = n - k - 1
     s2 = rss / dof if dof > 0 else np.nan
     var = s2 * inv / (n - 1)
     var0 = s2 / n + means @ var @ means
-    est = [row["my"] - beta @ means, *beta]
+    est = [my - beta @ means, *beta]
     se = [np.sqrt(var0), *np.sqrt(np.diag(var))]
     bic = n * np.log(rss / n) + n + n * np.log(2 * np.pi) + (k + 2) * np.log(n) if rss > 0 else np.nan
     out = []
@@ -87,32 +87,43 @@ def _solve(names: Sequence[str], label: str, row: pd.Series) -> list[tuple]:
     return out
 
 
-def ols(df: DataFrame, response: Column, terms: Mapping[str, Column], label: str = "model") -> DataFrame:
-    """Least squares with intercept: estimate, standard error, t, p, and n, R2, RSS, BIC.
+def ols_models(df: DataFrame, models: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> DataFrame:
+    """Least squares with intercept for several models ``{label: (response, terms)}``.
 
-    One pass over the rows: built-in mean and covariance aggregates, which are stable and merge
-    in any order, give the normal equations in centred form. Only those few numbers reach the
-    solver, as a single row.
+    Gives estimate, standard error, t, p, and n, R2, RSS, BIC. One pass over the rows serves
+    all models: built-in mean and covariance aggregates, which are stable and merge in any
+    order, give the normal equations in centred form. Every model leaves out its own unusable
+    rows. Only those few numbers reach the solver, as a single row.
     """
-    names, cols = list(terms), list(terms.values())
-    ready = df.where(_finite({"y": response, **terms})).select(
-        response.cast("double").alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    )
-    k = range(len(cols))
-    stats = ready.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.var_samp("y").alias("yy"),
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in k],
-        *[F.covar_samp(f"x{i}", "y").alias(f"y{i}") for i in k],
-        *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i in k for j in k if i <= j],
-    )
+    made, stats = {}, {}
+    for m, (response, terms) in enumerate(models.values()):
+        ok = _finite({"y": response, **terms})
+        made[f"y{m}"] = F.when(ok, response.cast("double"))
+        stats |= {f"n_{m}": f"count(y{m})", f"my_{m}": f"avg(y{m})", f"yy_{m}": f"var_samp(y{m})"}
+        for i, c in enumerate(terms.values()):
+            x = f"x{m}_{i}"
+            made[x] = F.when(ok, c.cast("double"))
+            stats |= {f"m{i}_{m}": f"avg({x})", f"y{i}_{m}": f"covar_samp({x}, y{m})"}
+            stats |= {f"c{j}_{i}_{m}": f"covar_samp(x{m}_{j}, {x})" for j in range(i + 1)}
+    plans = [(label, list(terms)) for label, (_, terms) in models.items()]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in OLS_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [r for _, one in batch.iterrows() if one["n"] > len(names) for r in _solve(names, label, one)]
+            rows = []
+            for _, one in batch.iterrows():
+                for m, (label, names) in enumerate(plans):
+                    if one[f"n_{m}"] > len(names):
+                        rows += _solve(names, label, one, f"_{m}")
             yield pd.DataFrame(rows, columns=columns)
 
-    return stats.mapInPandas(fit, OLS_SCHEMA)
+    sums = df.select(*[c.alias(k) for k, c in made.items()]).agg(*[F.expr(e).alias(k) for k, e in stats.items()])
+    return sums.mapInPandas(fit, OLS_SCHEMA)
+
+
+def ols(df: DataFrame, response: Column, terms: Mapping[str, Column], label: str = "model") -> DataFrame:
+    """One model of :func:`ols_models`."""
+    return ols_models(df, {label: (response, terms)})
 
 
 def ols_simple(df: DataFrame, response: Column, predictor: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -128,14 +139,14 @@ def ols_simple(df: DataFrame, response: Column, predictor: Column, by: Sequence[
 def ols_factor(df: DataFrame, response: Column, factor: str) -> DataFrame:
     """One categorical predictor: mean of the first level, then each level minus it.
 
-    Levels are few and already aggregated when they are compared.
+    The window holds one row per level, as many as the model has coefficients.
     """
     ready = df.where(_finite({"y": response}) & F.col(factor).isNotNull())
     means = ready.groupBy(factor).agg(F.avg(response.cast("double")).alias("_m"), F.count(F.lit(1)).alias("n"))
-    base = means.agg(F.min_by("_m", factor).alias("m"), F.min(factor).alias("f"))
-    m0, f0 = base.select("m").scalar(), base.select("f").scalar()
-    is_base = F.col(factor) == F.col("_f0")
-    return means.withColumns({"_m0": m0, "_f0": f0}).select(
+    w = Window.orderBy(factor)
+    rows = means.withColumns({"_rn": F.row_number().over(w), "_m0": F.first("_m").over(w)})
+    is_base = F.col("_rn") == 1
+    return rows.select(
         F.when(is_base, F.lit("(Intercept)")).otherwise(F.concat(F.lit(factor), F.col(factor))).alias("term"),
         F.when(is_base, F.col("_m")).otherwise(F.col("_m") - F.col("_m0")).alias("estimate"), "n",
     )

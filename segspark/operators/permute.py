@@ -16,6 +16,8 @@ def expand_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "k"
     huge unit is expanded by many tasks. ``copies=(column, n)`` repeats everything n times
     before the spread (numbers 0..n-1).
     """
+    if out in keys:
+        raise ValueError(f"{out} is already a key")
     rows = df.where(F.col(value) > 0).select(*keys, F.col(value).cast("long").alias("_v"))
     rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_v") - 1) / chunk))))
     spread = [*keys, "_c"]

@@ -107,12 +107,11 @@ def model_terms() -> dict:
 @query("ols_coefficients")
 def q_ols_coefficients(spark, sf):
     """Coefficient tables with p values and BIC of four models for two errors."""
-    frame, out = model_frame(spark, sf), None
-    for response in ("H", "Pbg"):
-        for label, terms in model_terms().items():
-            part = models.ols(frame, F.col(response), terms, f"{response} ~ {label}")
-            out = part if out is None else out.unionByName(part)
-    return out
+    jobs = {
+        f"{response} ~ {label}": (F.col(response), terms)
+        for response in ("H", "Pbg") for label, terms in model_terms().items()
+    }
+    return models.ols_models(model_frame(spark, sf), jobs)
 
 
 @query("ols_factor", f"""with {FRAME}, m as (select "type" ty, avg("H") m, count("H") n from frame group by all), b as (select min(ty) ty0, arg_min(m, ty) m0 from m)

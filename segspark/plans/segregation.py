@@ -227,16 +227,13 @@ def q_h_alone(spark, sf):
     return rounded_cols(out, ["Hb", "H_alone"])
 
 
-@query("win_lag_default", f"""with {CELL}, {LONG}, {direct_theil('d', 'long', 'cbsa, "name"', 'tract', 'block', 'race')}
-select cbsa, "name", round("H", 6) + 0.0 as "H",
- round("H" - lag("H", 1, 0.0) over (partition by "name" order by cbsa), 6) + 0.0 as step from d""")
+@query("win_lag_default", f"""with {nested_sql('block')}
+select cbsa, "name", "Level", round("Hb", 6) + 0.0 as "Hb",
+ round("Hb" - lag("Hb", 1, 0.0) over (partition by cbsa, "name" order by "Level"), 6) + 0.0 as step from geo""")
 def q_win_lag(spark, sf):
-    from pyspark.sql import Window
-
-    # One row per metro of a source reaches the window.
-    w = Window.partitionBy("name").orderBy("cbsa")
-    d = theil.decompose(cell(spark, sf), FIVE, PRIORITIES).select("cbsa", "name", "H")
-    return rounded_cols(d.withColumn("step", F.col("H") - F.lag("H", 1, 0.0).over(w)), ["H", "step"])
+    """Previous level's value, 0 before the first; a window holds the levels of one scope and source."""
+    out = theil.with_increments(nested(spark, sf, False), ["cbsa", "name"], ORDER, "Hb", "step")
+    return rounded_cols(out.select("cbsa", "name", "Level", "Hb", "step"), ["Hb", "step"])
 
 
 @query("center_place", f"""with {PLACED} select cbsa, center, cast(p.pop as bigint) pop

@@ -9,6 +9,8 @@ from segspark.operators import compare, distribution, ranking, reshape, theil
 from segspark.plans.inputs import CELL, FOCAL, FOUR, PRIORITIES, SOURCES, cell, direct_theil, rounded, table
 from segspark.plans.registry import query
 from segspark.plans.segregation import FOUR_SQL, METRO_LONG, focal_sql, metro_rolled, rounded_cols
+from segspark.session import scratch_dir
+from segspark.sources import materialize
 
 # --- aggregates -------------------------------------------------------------------------------
 
@@ -192,9 +194,12 @@ select m."name", cast(point as int) point, round(any_value(lo + (hi - lo) * poin
  round(sum(m.m * exp(-0.5e0 * pow((lo + (hi - lo) * point / {POINTS - 1} - lo - (hi - lo) * g / {MASS - 1}) / bw, 2)) / (bw * sqrt(2 * pi()))) / any_value(n), 6) + 0.0 as density
 from mass m join bw on m."name" = bw."name", ends, range({POINTS}) t(point) group by m."name", point""")
 def q_density(spark, sf):
-    """Distribution of unit entropy under each source."""
-    local = compare.local_entropy(cell(spark, sf), ["tract", "block"], "race", FOUR, SOURCES)
-    long = reshape.to_long(local, [], ["CENSUS", "DP"]).withColumn("value", F.round("value", 9))
+    """Distribution of unit entropy under each source, from a written table of the entropies."""
+    def build():
+        local = compare.local_entropy(cell(spark, sf), ["tract", "block"], "race", FOUR, SOURCES)
+        return reshape.to_long(local, [], ["CENSUS", "DP"]).withColumn("value", F.round("value", 9))
+
+    long = materialize(spark, scratch_dir(spark, "entropies"), build)
     return rounded_cols(distribution.density_curve(long, "name", "value", POINTS, MASS), ["x", "density"])
 
 
