@@ -152,7 +152,7 @@ def nested_long(src: str, pairs: str, group: str = "race", groups: str = FOUR_SQ
         label, mid = mids[k]
         for name, col in (p.split(":") for p in pairs.split(",")):
             rows.append(f"""select cbsa, '{label}' as "Level", '{name}' as "name", {mid} mid, tract, blkgrp, {'block,' if group == 'race' else ''}
- {group}, {col} as "value" from {src} join ctr using (cbsa) where {group} in ({groups})""")
+ {group}, {col} as "value" from {src} left join ctr using (cbsa) where {group} in ({groups})""")
     return "nlong as (" + "\nunion all ".join(rows) + ")"
 
 
@@ -161,7 +161,7 @@ def nested_sql(leaf: str, pairs: str = "CENSUS:census,DP:dp") -> str:
     return f"""{PLACED}, {nested_long('pcell', pairs)},
 {direct_theil('d', 'nlong', keys, 'mid', leaf, 'race')},
 geo as (select d.*, center, "Pb" - lag("Pb", 1, 0.0) over (partition by cbsa, "name" order by "Level") seg_explained
-  from d join ctr using (cbsa))"""
+  from d left join ctr using (cbsa))"""
 
 
 GEO_COLS = "Hw, H, totalE, Hb, Pb, seg_explained"
@@ -339,7 +339,7 @@ ctr as (select cbsa, arg_min(name_full, (-pop, name_full)) center from pop where
 {nested_long('acell', 'CENSUS:census,DP:dp', 'age_group', BAND_SQL, 'PC')},
 {direct_theil('d', 'nlong', 'cbsa, "Level", "name"', 'mid', 'blkgrp', 'age_group')},
 geo as (select d.*, center, "Pb" - lag("Pb", 1, 0.0) over (partition by cbsa, "name" order by "Level") seg_explained
-  from d join ctr using (cbsa))"""
+  from d left join ctr using (cbsa))"""
 
 
 @query("age_nested_hierarchy", f"""with {AGE_NESTED}
@@ -401,10 +401,10 @@ YEAR_NESTED = f"""{YEAR_PLACED}, {year_long()}, ynl as (
  select l.yr, l.cbsa, "Level", "name", tract, blkgrp, race, "value",
   case "Level" when 'Tract' then cast(tract as varchar) when 'Place' then name_full
        else case when name_full = center then 'Center' else 'Not Center' end end mid
- from ylong l join yctr c on l.yr = c.yr and l.cbsa = c.cbsa cross join (values ('Tract'), ('Place'), ('Center')) t("Level")),
+ from ylong l left join yctr c on l.yr = c.yr and l.cbsa = c.cbsa cross join (values ('Tract'), ('Place'), ('Center')) t("Level")),
  {direct_theil('d', 'ynl', 'yr, cbsa, "Level", "name"', 'mid', 'blkgrp', 'race')},
  geo as (select d.*, center, "Pb" - lag("Pb", 1, 0.0) over (partition by d.yr, d.cbsa, "name" order by "Level") seg_explained
-  from d join yctr using (yr, cbsa))"""
+  from d left join yctr using (yr, cbsa))"""
 
 
 @query("baseline_decomposition", f"""with {YEAR_NESTED}

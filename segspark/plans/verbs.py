@@ -314,7 +314,7 @@ def q_strings(spark, sf):
 
 
 @query("scalar_math", """select o_orderkey, round(ln(o_totalprice), 6) + 0.0 as ln_v, round(exp(o_totalprice / 1e6), 6) + 0.0 as exp_v,
- round(abs(o_totalprice - 250000), 6) + 0.0 as abs_v, cast(sign(o_totalprice - 250000) as double) sign_v, round(o_totalprice / 1000, 2) + 0.0 as round_v,
+ round(abs(o_totalprice - 250000), 6) + 0.0 as abs_v, cast(sign(o_totalprice - 250000) as double) sign_v, round(o_totalprice / 7, 2) + 0.0 as round_v,
  round(power(o_totalprice / 1e5, 2), 6) + 0.0 as pow_v, isfinite(o_totalprice / nullif(o_custkey % 2, 0)) fin,
  round(1 / (1 + exp(-(o_totalprice / 1e5 - 2))), 6) + 0.0 as logit_v from orders""")
 def q_math(spark, sf):
@@ -322,7 +322,7 @@ def q_math(spark, sf):
     q = F.try_divide(v, (F.col("o_custkey") % 2).cast("double"))
     return table(spark, sf, "orders").select(
         "o_orderkey", tidy(F.ln(v)).alias("ln_v"), tidy(F.exp(v / 1e6)).alias("exp_v"), tidy(F.abs(v - 250000)).alias("abs_v"),
-        F.signum(v - 250000).alias("sign_v"), (F.round(v / 1000, 2) + 0.0).alias("round_v"), tidy(F.pow(v / 1e5, F.lit(2.0))).alias("pow_v"),
+        F.signum(v - 250000).alias("sign_v"), (F.round(v / 7, 2) + 0.0).alias("round_v"), tidy(F.pow(v / 1e5, F.lit(2.0))).alias("pow_v"),
         F.when(q.isNotNull(), ~F.isnan(q) & (F.abs(q) < float("inf"))).alias("fin"), tidy(inverse_logit(v / 1e5 - 2)).alias("logit_v"))
 
 
