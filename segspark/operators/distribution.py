@@ -12,11 +12,13 @@ from segspark.functions.binning import equal_width_bin
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, few_groups: int = 10_000) -> DataFrame:
     """Interpolated quantiles (position ``1 + (n-1) p``) per group, exact without sorting a group.
 
-    A sketch with a known rank error brackets every quantile; what lies below a bracket is only
-    counted, and just the distinct values inside it are put in order.
+    A sketch with a known rank error brackets every quantile. Rows below a bracket are only
+    counted, rows above it are dropped, and just the distinct values inside it are shuffled and
+    put in order. The brackets are read first: up to ``few_groups`` groups they are sent to the
+    rows, with more groups the two are joined by key.
     """
     by, probs = list(by), [float(p) for p in probs]
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
@@ -26,39 +28,38 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     slack = 3.0 / accuracy
     low = F.percentile_approx("_x", F.array(*[F.lit(max(0.0, p - slack)) for p in probs]), accuracy)
     high = F.percentile_approx("_x", F.array(*[F.lit(min(1.0, p + slack)) for p in probs]), accuracy)
-    # A group of at most ``accuracy`` rows is its own bracket, as are the ends of any group.
-    small = F.col("_n") <= accuracy
     sketch = known.groupBy(*by).agg(
         low.alias("_lo"), high.alias("_hi"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         F.count(F.lit(1)).alias("_n"),
     )
-    entries = [
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-            F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
-        )
+    # A group of at most ``accuracy`` rows is its own bracket, as are the ends of any group.
+    small = F.col("_n") <= accuracy
+    ends = []
+    for i, p in enumerate(probs):
+        ends.append(F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"_lo{i}"))
+        ends.append(F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"_hi{i}"))
+    brackets = sketch.select(*by, "_n", *ends)
+    rows = brackets.limit(few_groups + 1).collect()
+    if len(rows) <= few_groups:
+        brackets = F.broadcast(df.sparkSession.createDataFrame(rows, brackets.schema))
+    joined = known.join(brackets, by)
+    x = F.col("_x")
+    # One entry per quantile: the value inside its bracket, NULL below, nothing above.
+    entries = F.array(*[
+        F.when(x <= F.col(f"_hi{i}"), F.struct(F.lit(p).alias("p"), F.when(x >= F.col(f"_lo{i}"), x).alias("v")))
         for i, p in enumerate(probs)
-    ]
-    brackets = sketch.select(*by, "_n", F.explode(F.array(*entries)).alias("_q")).select(*by, "_n", "_q.*")
-    counted = known.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    joined = counted.join(brackets, by)
-    inside = joined.where(F.col("_x").between(F.col("lo"), F.col("hi")))
-    below = joined.groupBy(*by, "p").agg(
-        F.sum(F.when(F.col("_x") < F.col("lo"), F.col("_c")).otherwise(0)).alias("_below")
-    )
-    w = Window.partitionBy(*by, "p").orderBy("_x")
-    inside = inside.join(below, [*by, "p"])
-    inside = inside.withColumn(
-        "_upto", F.col("_below") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    ])
+    seen = joined.select(*by, "_n", F.explode(entries).alias("_e")).where(F.col("_e").isNotNull())
+    counted = seen.groupBy(*by, "_n", F.col("_e.p").alias("p"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first())
+    counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pos = F.lit(1.0) + (F.col("_n") - 1) * F.col("p")
     first = F.col("_upto") - F.col("_c") + 1
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= F.col("_upto")), F.col("_x")))
+        return F.max(F.when((first <= rank) & (rank <= F.col("_upto")), F.col("_v")))
 
-    picked = inside.groupBy(*by, "p", "_n").agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
+    picked = counted.groupBy(*by, "p", "_n").agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
     frac = pos - F.floor(pos)
     out = [c for c in by if c != "_all"]
     return picked.select(*out, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))

@@ -136,11 +136,11 @@ def q_erased(spark, sf):
         "tract", "block", "race", "census", (F.col("dp") - F.col("census")).alias("diff"), tidy(F.col("p")).alias("p"))
 
 
-@query("erased_by_size", f"""with {ERASED} select tract, block, race, dp - census diff from er order by diff, tract, block, race limit 100""")
+@query("erased_by_size", f"""with {ERASED} select tract, block, race, dp - census diff from er order by diff, tract, block, race""")
 def q_erased_by_size(spark, sf):
-    """The largest losses first (a report of 100 rows)."""
+    """Emptied cells, the largest losses first."""
     cells = cell(spark, sf).where(compare.erased(F.col("census"), F.col("dp")))
-    return cells.select("tract", "block", "race", (F.col("dp") - F.col("census")).alias("diff")).orderBy("diff", "tract", "block", "race").limit(100)
+    return cells.select("tract", "block", "race", (F.col("dp") - F.col("census")).alias("diff")).orderBy("diff", "tract", "block", "race")
 
 
 @query("histogram_by_group", f"""with {ERASED}, e as (select min(p) lo, max(p) hi from er)

@@ -96,12 +96,13 @@ def test_layout(spark):
 # --- distribution ---
 
 
-def test_quantiles_large_and_small_groups(spark):
+@pytest.mark.parametrize("few", [1, 10_000])
+def test_quantiles_large_and_small_groups(spark, few):
     rng = np.random.default_rng(1)
     rows = [("big", float(x)) for x in rng.normal(size=30_000).round(3)] + [("small", float(x)) for x in [3, 1, 2, 10]] + [("one", 5.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.k, r.p): r.quantile for r in distribution.exact_quantiles(df, ["k"], "v", probs, accuracy=1000).collect()}
+    got = {(r.k, r.p): r.quantile for r in distribution.exact_quantiles(df, ["k"], "v", probs, accuracy=1000, few_groups=few).collect()}
     for k in ("big", "small", "one"):
         v = [x for kk, x in rows if kk == k]
         for p in probs:
