@@ -121,6 +121,12 @@ def ols_models(df: DataFrame, models: Mapping[str, tuple[Column, Mapping[str, Co
     return sums.mapInPandas(fit, OLS_SCHEMA)
 
 
+def contrasts(factor: str, levels: Sequence[str]) -> dict[str, Column]:
+    """Indicator terms of a categorical predictor; the first level is the base."""
+    known = F.col(factor).isin(list(levels))
+    return {f"{factor}{v}": F.when(known, (F.col(factor) == v).cast("double")) for v in levels[1:]}
+
+
 def ols(df: DataFrame, response: Column, terms: Mapping[str, Column], label: str = "model") -> DataFrame:
     """One model of :func:`ols_models`."""
     return ols_models(df, {label: (response, terms)})
@@ -171,7 +177,7 @@ def bic_simple(df: DataFrame, response: Column, predictors: Mapping[str, Column]
 
 
 def logit(df: DataFrame, response: Column, terms: Mapping[str, Column], max_iter: int = 50) -> DataFrame:
-    """Binomial regression with logit link: term and estimate.
+    """Binomial regression with logit link: estimate, standard error, z and p of every term.
 
     The rows are first counted by distinct (response, terms) and that table is written to the
     shared scratch folder: every step of the reweighted least squares then reads the short
@@ -188,6 +194,9 @@ def logit(df: DataFrame, response: Column, terms: Mapping[str, Column], max_iter
     data = VectorAssembler(inputCols=names, outputCol="features").transform(spark.read.parquet(path))
     fit = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=max_iter, tol=1e-10)
     model = fit.fit(data.select("label", "features", "weight"))
-    rows = [("(Intercept)", float(model.intercept))]
-    rows += [(n, float(b)) for n, b in zip(names, model.coefficients)]
-    return spark.createDataFrame(rows, "term string, estimate double")
+    # The summary lists the intercept last.
+    coef = [*[float(b) for b in model.coefficients], float(model.intercept)]
+    se, z, p = (list(map(float, v)) for v in (
+        model.summary.coefficientStandardErrors, model.summary.tValues, model.summary.pValues))
+    rows = list(zip([*names, "(Intercept)"], coef, se, z, p))
+    return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")

@@ -40,9 +40,10 @@ def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: st
     take the ranks in turn, each as many as it counts. The digest makes the draw the same on
     every run, whatever the partitioning, and after a lost executor.
 
-    No stratum is sorted as a whole. Ranks come from ranges of the digest: rows per range, a
-    running sum over the ranges, and a row number inside each. How many ranges a stratum gets
-    grows with its size. Groups own intervals of ranks; both sides meet on blocks of ranks.
+    No large stratum is sorted as a whole. Ranks come from ranges of the digest: rows per range,
+    a running sum over the ranges, and a row number inside each. How many ranges a stratum gets
+    grows with its size; the size of the largest is read first, as up to ``bucket_rows`` people
+    one range is enough. Groups own intervals of ranks; both sides meet on blocks of ranks.
     ``carry`` are columns of the leaf (such as its mid) to keep. ``counted=False`` leaves one row
     per person with value 1, for a measure that sums the cells itself.
     """
@@ -51,21 +52,27 @@ def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: st
     leaves = filled.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
     margins = filled.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n"))
 
-    # Hex digits of the digest that name the range: 16^digits ranges of about bucket_rows.
     totals = leaves.groupBy(*strata).agg(F.sum("_v").alias("_N"))
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("_N") / bucket_rows) / F.log(F.lit(16.0)))).cast("int")
-    sized = leaves.join(totals.select(*strata, digits.alias("_d")), strata)
+    largest = totals.agg(F.max("_N")).first()[0] or 0
+    ranged = largest > bucket_rows
+    sized = leaves.withColumn("_d", F.lit(0))
+    if ranged:
+        # Hex digits of the digest that name the range: 16^digits ranges of about bucket_rows.
+        digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("_N") / bucket_rows) / F.log(F.lit(16.0)))).cast("int")
+        sized = leaves.join(totals.select(*strata, digits.alias("_d")), strata)
     people = expand_counts(sized, [*strata, leaf, *carry, "_d"], "_v", "_k", copies=("sim", n_sims))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sim"), F.col(leaf), F.col("_k")))
-    people = people.withColumn("_ord", digest).withColumn("_b", F.substring(F.col("_ord"), F.lit(1), F.col("_d")))
-
-    by_range = ["sim", *strata, "_b"]
-    per_range = people.groupBy(*by_range).agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy("sim", *strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*by_range, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
+    people = people.withColumn("_ord", digest)
+    by_range = ["sim", *strata] + (["_b"] if ranged else [])
+    if ranged:
+        people = people.withColumn("_b", F.substring(F.col("_ord"), F.lit(1), F.col("_d")))
     inside = Window.partitionBy(*by_range).orderBy("_ord", leaf, "_k")
-    ranked = people.withColumn("_rn", F.row_number().over(inside)).join(offsets, by_range)
-    ranked = ranked.withColumn("_rank", F.col("_rn") + F.col("_off"))
+    ranked = people.withColumn("_rank", F.row_number().over(inside).cast("long"))
+    if ranged:
+        per_range = people.groupBy(*by_range).agg(F.count(F.lit(1)).alias("_m"))
+        before = Window.partitionBy("sim", *strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_range.select(*by_range, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
+        ranked = ranked.join(offsets, by_range).withColumn("_rank", F.col("_rank") + F.col("_off"))
     ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block))
 
     # One row per group of a stratum.

@@ -106,8 +106,14 @@ def model_terms() -> dict:
 
 @query("ols_coefficients")
 def q_ols_coefficients(spark, sf):
-    """Coefficient tables with p values and BIC of four models for two errors."""
+    """Coefficient tables with p values and BIC of all models of the errors, from one pass."""
+    pop, blocks = {"log_pop": F.ln("total_pop")}, {"log_blocks": F.ln("block_count")}
+    kind = models.contrasts("type", ["Metropolitan", "Micropolitan"])
+    h, size = F.col("H"), F.abs("H")
     jobs = {
+        "H ~ type": (h, kind), "H ~ type + pop": (h, {**kind, **pop}), "H ~ pop": (h, pop),
+        "abs H ~ pop": (size, pop), "abs H ~ pop + blocks": (size, {**pop, **blocks}),
+    } | {
         f"{response} ~ {label}": (F.col(response), terms)
         for response in ("H", "Pbg") for label, terms in model_terms().items()
     }
@@ -141,10 +147,13 @@ i0 as (select 0.0e0 a, 0.0e0 b)"""]
         parts.append(f"""i{k + 1} as (select any_value(a) + (sum(g0) * sum(h11) - sum(g1) * sum(h01)) / (sum(h00) * sum(h11) - sum(h01) * sum(h01)) a,
  any_value(b) + (sum(g1) * sum(h00) - sum(g0) * sum(h01)) / (sum(h00) * sum(h11) - sum(h01) * sum(h01)) b from (
  select a, b, y - p g0, (y - p) * x g1, p * (1 - p) h00, p * (1 - p) * x h01, p * (1 - p) * x * x h11 from (select a, b, y, x, 1 / (1 + exp(-(a + b * x))) p from d, i{k})))""")
-    return f"""with {', '.join(parts)} select '(Intercept)' term, round(a, 5) + 0.0 as estimate from i{steps} union all select 'share', round(b, 5) + 0.0 from i{steps}"""
+    return f"""with {', '.join(parts)}, hs as (select any_value(a) a, any_value(b) b, sum(p * (1 - p)) h00, sum(p * (1 - p) * x) h01, sum(p * (1 - p) * x * x) h11
+ from (select a, b, x, 1 / (1 + exp(-(a + b * x))) p from d, i{steps}))
+select '(Intercept)' term, round(a, 5) + 0.0 as estimate, round(sqrt(h11 / (h00 * h11 - h01 * h01)), 5) + 0.0 as std_error from hs
+ union all select 'share', round(b, 5) + 0.0, round(sqrt(h00 / (h00 * h11 - h01 * h01)), 5) + 0.0 from hs"""
 
 
 @query("logit_increase", newton_sql(8))
 def q_logit(spark, sf):
     out = models.logit(growth(spark, sf), F.col("increase"), {"share": F.col("pFocal")})
-    return out.withColumn("estimate", tidy(F.col("estimate"), 5))
+    return out.select("term", tidy(F.col("estimate"), 5).alias("estimate"), tidy(F.col("std_error"), 5).alias("std_error"))
