@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["shards", "mixing"]
+MODULES = ["shards", "mixing", "licences", "quality"]
 
 
 def load() -> tuple[dict, dict]:
