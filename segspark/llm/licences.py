@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm.common import SPACE, documents
+from segspark.llm.common import SPACE, documents, let
 
 #: Sentences of public licences and notices, as they stand in them.
 SENTENCES = {
@@ -85,27 +84,26 @@ def scan_licences(
     Every row is scanned where it lies: no shuffle. Null or empty text has no sentence and no licence.
     """
     known = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (_plain(s), name)])
+    tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in rules])
+
+    def attempt(state: Column, rule: Column) -> Column:
+        # Neighbours share a separator, so a run of one rule needs two passes.
+        used = F.replace(F.replace(state["left"], rule["ids"], F.lit("|+|")), rule["ids"], F.lit("|+|"))
+        names = F.when(used == state["left"], state["names"]).otherwise(F.array_append(state["names"], rule["name"]))
+        return F.struct(used.alias("left"), names.alias("names"))
+
+    def of(ids: Column) -> Column:
+        line = F.concat(F.lit("|"), F.regexp_replace(F.array_join(ids, "|"), "[|]{2,}", "|?|"), F.lit("|"))
+        start = F.struct(line.alias("left"), F.array().cast("array<string>").alias("names"))
+        return let(F.aggregate(tried, start, attempt), lambda end: F.struct(
+            F.size(ids).cast("long").alias("n_sentences"),
+            F.array_join(F.filter(ids, lambda s: s != ""), ",").alias("sentence_ids"),
+            F.array_join(F.array_sort(F.array_distinct(end["names"])), ",").alias("licences"),
+            F.size(F.filter(F.split(end["left"], "[|]"), lambda s: ~s.isin("", "?", "+"))).cast("long").alias("n_unmatched")))
+
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), END), _normal), lambda s: s != "")
-    found = (
-        df.withColumn("_parts", parts)
-        .withColumn("n_sentences", F.size("_parts").cast("long"))
-        .withColumn("_ids", F.transform("_parts", lambda s: F.coalesce(F.element_at(known, s), F.lit(""))))
-        .withColumn("sentence_ids", F.array_join(F.filter("_ids", lambda s: s != ""), ","))
-        .withColumn("_left", F.concat(F.lit("|"), F.regexp_replace(F.array_join("_ids", "|"), "[|]{2,}", "|?|"), F.lit("|")))
-    )
-    names = []
-    for k, (name, ids) in enumerate(rules):
-        # Identifiers are doubled separators apart, so that neighbours do not share one.
-        pattern = "|" + "|".join(ids) + "|"
-        found = found.withColumn(f"_r{k}", F.instr("_left", pattern) > 0).withColumn(
-            "_left", F.when(F.instr("_left", pattern) > 0, F.replace(F.replace("_left", F.lit(pattern), F.lit("|+|")),
-                                                                     F.lit(pattern), F.lit("|+|"))).otherwise(F.col("_left")))
-        names.append(F.when(F.col(f"_r{k}"), F.lit(name)))
-    return (
-        found.withColumn("licences", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ","))
-        .withColumn("n_unmatched", F.size(F.filter(F.split("_left", "[|]"), lambda s: ~s.isin("", "?", "+"))).cast("long"))
-        .drop("_parts", "_ids", "_left", *[f"_r{k}" for k in range(len(rules))])
-    )
+    ids = F.transform(parts, lambda s: F.coalesce(F.element_at(known, s), F.lit("")))
+    return df.withColumn("_found", let(ids, of)).select("*", "_found.*").drop("_found")
 
 
 def q_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

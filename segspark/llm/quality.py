@@ -5,61 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm.common import SPACE, documents, store, word_array
+from segspark.llm.common import documents, let, store, word_array
 
 #: Buckets of hashed 1- and 2-grams; most trusted documents the target is counted on.
 BUCKETS, TRUSTED = 10_000, 20_000
 
 
-def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_words`` and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+def _repeated(words: Column) -> Column:
+    """Words in 5-word windows that occur twice or more; windows are compared by a 64-bit hash."""
 
-    Null text counts as empty: all counts 0, base_failed true. Windows are compared by a 64-bit hash of
-    their five words; everything happens within the row, without a shuffle.
-    """
-    own = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(own, "\n"), lambda s: F.translate(s, " \t\x0b\f\r", "") != "")
-    word = lambda i: F.get("_words", i)
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 5), lambda i: F.xxhash64(*[word(i + j) for j in range(5)]))
-    pairs = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.filter("_pairs", lambda x, i: (
-        ((i > 0) & (F.get("_pairs", i - 1)["h"] == x["h"])) | F.coalesce(F.get("_pairs", i + 1)["h"] == x["h"], F.lit(False))))
-    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    covered = F.aggregate(
-        F.transform("_places", lambda p, i: F.when(i == 0, 5).otherwise(F.least(F.lit(5), p - F.get("_places", i - 1)))),
-        F.lit(0), lambda a, b: a + b)
-    return (
-        df.withColumn("_words", word_array(F.col(text)))
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(own, " \t\n\x0b\f\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(own) - F.length(F.translate(own, "#*$%&|<>", ""))).cast("long"))
-        .withColumn("_lines", lines)
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_hashes", F.when(F.size("_words") >= 5, hashes).otherwise(F.array().cast("array<bigint>")))
+    def covered(places: Column) -> Column:
+        steps = F.transform(places, lambda p, i: F.when(i == 0, 5).otherwise(F.least(F.lit(5), p - F.get(places, i - 1))))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+
+    def twice(pairs: Column) -> Column:
+        found = F.filter(pairs, lambda x, i: (
+            F.coalesce(F.get(pairs, i - 1)["h"] == x["h"], F.lit(False))
+            | F.coalesce(F.get(pairs, i + 1)["h"] == x["h"], F.lit(False))))
+        return let(F.sort_array(F.transform(found, lambda x: x["i"])), covered)
+
+    def of(hashes: Column) -> Column:
         # Most texts repeat no window; only the others are sorted.
-        .withColumn("_hashes", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.col("_hashes"))
-                    .otherwise(F.array().cast("array<bigint>")))
-        .withColumn("_pairs", pairs)
-        .withColumn("_places", places)
-        .withColumn("n_repeat_words", covered.cast("long"))
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop("_lines", "_hashes", "_pairs", "_places")
-    )
-
-
-def _grams(buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words of ``_words``."""
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(pairs, twice))
+
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))
+    return F.when(F.size(words) < 5, 0).otherwise(let(windows, of))
+
+
+def _grams(words: Column, buckets: int) -> Column:
+    """Buckets of the words and of the pairs of neighbouring words."""
     place = lambda *w: F.pmod(F.xxhash64(*w), F.lit(buckets)).cast("int")
-    return F.concat(
-        F.transform("_words", lambda w: place(w)),
-        F.transform(F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))),
-                    lambda w, i: place(F.get("_words", i), w)),
-    )
+    second = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.concat(F.transform(words, lambda w: place(w)), F.transform(second, lambda w, i: place(F.get(words, i), w)))
+
+
+def measures(text: Column, ratios: Column | None = None, buckets: int = BUCKETS) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and, with ``ratios``, score.
+
+    Null text counts as empty: all counts 0, base_failed true, score 0. All of it happens within the row.
+    """
+    own = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(own, "\n"), lambda s: F.translate(s, " \t\x0b\f\r", "") != "")
+
+    def of(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        score = [] if ratios is None else [let(_grams(words, buckets), lambda g: (
+            F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size(g), F.lit(1)))).alias("score")]
+        return let(_repeated(words).cast("long"), lambda repeated: F.struct(
+            n.alias("n_words"),
+            F.length(F.translate(own, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+            (F.length(own) - F.length(F.translate(own, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated.alias("n_repeat_words"),
+            ((n < 10) | (100 * repeated > 20 * n)).alias("base_failed"),
+            *score))
+
+    return let(word_array(text), of)
 
 
-def _counts(words: DataFrame, buckets: int, name: str) -> DataFrame:
-    return words.select(F.explode(_grams(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+def _counts(docs: DataFrame, text: str, buckets: int, name: str) -> DataFrame:
+    grams = let(word_array(F.col(text)), lambda w: _grams(w, buckets))
+    return docs.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
 def some_trusted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
@@ -74,7 +82,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets:
     The raw multinomial is counted over every document of ``docs``, the target over the documents ``trusted``.
     Counting is partial in each task, so ``buckets`` rows per task are shuffled, whatever the corpus.
     """
-    target, raw = (_counts(d.withColumn("_words", word_array(F.col(text))), buckets, n) for d, n in ((trusted, "t"), (docs, "r")))
+    target, raw = (_counts(d, text, buckets, n) for d, n in ((trusted, "t"), (docs, "r")))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(raw, "bucket", "left").join(target, "bucket", "left").select(
         "bucket", (F.coalesce("t", F.lit(0)) + 1).alias("t"), (F.coalesce("r", F.lit(0)) + 1).alias("r"))
@@ -85,14 +93,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets:
 
 
 def _scored(docs: DataFrame, ratios: DataFrame, text: str, buckets: int) -> DataFrame:
-    return (
-        base_counts(docs, text)
-        .withColumn("_grams", _grams(buckets))
-        .withColumn("_ratios", ratios.select("ratios").scalar())
-        .withColumn("score", F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get("_ratios", b))
-                    / F.greatest(F.size("_grams"), F.lit(1)))
-        .drop("_words", "_grams", "_ratios")
-    )
+    named = docs.withColumn("_ratios", ratios.select("ratios").scalar())
+    return named.withColumn("_m", measures(F.col(text), F.col("_ratios"), buckets)).drop("_ratios").select("*", "_m.*").drop("_m")
 
 
 def quality_filter(
@@ -111,8 +113,9 @@ def quality_filter(
     chosen = some_trusted(docs, trusted, key, most)
     ratios = store(log_ratios(docs, chosen, text, buckets), "ratios")
     if least is None:
-        low, mid = _scored(chosen, ratios, text, buckets).filter(~F.col("base_failed")).agg(
-            F.percentile("score", F.lit(0.001)), F.percentile("score", F.lit(0.5))).first()
+        passing = F.when(~F.col("base_failed"), F.col("score"))
+        low, mid = _scored(chosen, ratios, text, buckets).agg(
+            F.percentile(passing, F.lit(0.001)), F.percentile(passing, F.lit(0.5))).first()
         least = 2 * low - mid if low is not None else float("-inf")
     return _scored(docs, ratios, text, buckets).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
