@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,3 +63,35 @@ def running_total(df: DataFrame, group: str | None, order: Sequence[str], value:
         .withColumn(out, (F.col("_base") + F.col("_in")).cast("long"))
         .drop("_base", "_in", "_range")
     )
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """``make()`` once in a Python worker, which runs many tasks; a lost worker makes its own again."""
+    kept = sys.modules.setdefault("_segspark_worker", types.ModuleType("_segspark_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+class BoundedDict(dict):
+    """Results of ``make`` by argument; emptied when it holds ``most``, so its memory is bounded."""
+
+    def __init__(self, make: Callable, most: int = 400_000):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def pieces(text: str | None) -> list[str]:
+    """The text cut at ASCII white space; may hold empty pieces."""
+    if not text:
+        return []
+    for mark in "\t\n\x0b\f\r":
+        text = text.replace(mark, " ")
+    return text.split(" ")
