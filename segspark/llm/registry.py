@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language"]
+MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language", "digest"]
 
 
 def load() -> tuple[dict, dict]:
