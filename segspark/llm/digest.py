@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from segspark.llm.common import documents
 
 #: Bytes of a feature, and of one of a short text; features that compete; wins that a feature needs; entropy steps.
-FEATURE, SHORT, RIVALS, WINS, STEPS = 64, 8, 64, 16, 1000
+FEATURE, SHORT, RIVALS, WINS, STEPS = 64, 8, 32, 8, 1000
 #: Bits of a filter, bits that a feature sets, features of a filter before the next is begun.
 BITS, PROBES, PER_FILTER = 2048, 5, 128
 #: Bytes that are worked on at once (a longer text is worked on alone).
@@ -54,7 +54,7 @@ def features(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     with ``WINS`` elections is a feature. Of a text too short for that, every window of ``SHORT`` bytes is one.
     """
     n = len(ranks)
-    if n < RIVALS:
+    if n < 3 * FEATURE:
         short = data if len(data) >= SHORT or not len(data) else np.pad(data, (0, SHORT - len(data)))
         chosen = np.arange(len(short) - SHORT + 1) if len(short) else np.empty(0, np.int64)
         return _hashes(short, chosen, SHORT)
