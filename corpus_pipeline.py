@@ -1,14 +1,79 @@
-"""Five stages from raw documents to token ids; each reads what the one before it has written."""
+"""Five stages from raw documents to token ids; each reads what the one before it has written.
+
+All stages keep the defined results of their operators: a null text is an empty one (the first stage rejects it), rows that repeat
+are documents of their own until near-duplicates go, a null key is a key, and no rows give no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segspark.llm import bpe, language, minmax, mixing, suffix_runs
+from segspark.llm.common import documents, store, word_array
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Least probability of the predicted language; a text of no known language is near 1 / number of languages.
+LEAST_SCORE = 0.3
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or with no language that is at all likely, go."""
+    network = language.fit(docs.filter(~language.held_out()))
+    return language.classify(docs.select(*COLUMNS), network).filter(
+        (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least doc_id stays; of rows with one doc_id, one."""
+    kept = store(minmax.near_duplicates(docs).filter("kept").select(F.col("key").alias("_key")).distinct(), "kept")
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; a character that is cut in two goes, too."""
+    spans = suffix_runs.repeated_spans(docs)[0].filter(F.size("removed") > 0)
+    spans = store(spans.select(
+        F.nullif("key", F.lit(suffix_runs.NO_KEY)).alias("_key"), F.col("h").alias("_h"), "removed"
+    ).dropDuplicates(["_key", "_h"]), "removed")
+    joined = docs.select(*COLUMNS).join(
+        spans, F.col("doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h")), "left")
+    rest = joined.withColumn("_rest", suffix_runs.cut_text("text", "removed"))
+    cut = F.col("removed").isNotNull()
+    return rest.select(
+        "doc_id", F.when(cut, F.col("_rest")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(cut, F.length("_rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes; a document that is taken in part ends after those words."""
+    taken = mixing.mix(mixing.sized(docs)).filter("taken > 0")
+    # Rows of one doc_id, source and size are taken together.
+    taken = store(taken.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")), "taken")
+    sized = docs.select(*COLUMNS, F.size(word_array(F.col("text"))).cast("long").alias("_size"))
+    rows = sized.join(taken.toDF("_id", "_src", "_n", "_taken"), (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n"))))
+    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
+    rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_words", words.cast("int"))
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(
+        F.array_join(F.slice(word_array(F.col("text")), F.lit(1), F.col("_words")), " "))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text and what they decode to."""
+    file = bpe.tokenizer_path(bpe.TOKENIZER)
+    coded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), file)
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.bpe_decode("ids", file).alias("decoded"))
 
-from segspark.llm.common import documents, store
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", by_language), ("near_dedup", near_dedup), ("repeats", without_repeats), ("mix", mixed), ("tokens", token_ids)]
+#: Networks, signatures and merges are not SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
