@@ -396,17 +396,33 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return spans, texts.select("row", "text").join(part.select("row"), "row", "left_semi")
 
 
-@F.arrow_udf("binary")
-def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """What is left of each text's bytes without its spans; null or no spans leave it whole."""
-    out = []
-    for text, own in zip(texts, spans):
-        data, own, at, kept = (text.as_py() or "").encode(), own.as_py() or [], 0, []
-        for s, e in zip(own[::2], own[1::2]):
-            kept.append(data[at:s])
-            at = e
-        out.append(b"".join([*kept, data[at:]]))
-    return pa.array(out, pa.binary())
+def _rest(text: str | None, spans: list[int] | None) -> bytes:
+    data, at, kept = (text or "").encode(), 0, []
+    for s, e in zip((spans or [])[::2], (spans or [])[1::2]):
+        kept.append(data[at:s])
+        at = e
+    return b"".join([*kept, data[at:]])
+
+
+def cut(text: Column | str, spans: Column | str) -> Column:
+    """What is left of a text's bytes without its spans; null or no spans leave it whole."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_rest(t.as_py(), s.as_py()) for t, s in zip(texts, spans)], pa.binary())
+
+    return run(text, spans)
+
+
+def cut_text(text: Column | str, spans: Column | str) -> Column:
+    """As ``cut``, as text: a character that a span cuts in two is left out. Null where there are no spans."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([
+            _rest(t.as_py(), s.as_py()).decode("utf-8", "ignore") if s.is_valid else None for t, s in zip(texts, spans)], pa.string())
+
+    return run(text, spans)
 
 
 def removed_bytes(spans: Column) -> Column:
