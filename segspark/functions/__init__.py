@@ -8,7 +8,7 @@ from segspark.functions.numeric import (
     tidy,
     xlnx,
 )
-from segspark.functions.text import invert, replace_first, squash_suffix
+from segspark.functions.text import invert, pad_code, replace_first, squash_suffix
 
 __all__ = [
     "equal_width_bin",
@@ -16,6 +16,7 @@ __all__ = [
     "inverse_logit",
     "invert",
     "mass_text",
+    "pad_code",
     "replace_first",
     "right_closed_bin",
     "safe_div",

@@ -17,6 +17,12 @@ def invert(mapping: Mapping[str, str]) -> dict[str, str]:
     return out
 
 
+def pad_code(col: Column, width: int) -> Column:
+    """Zeros to the left up to ``width``; a longer code stays whole (``lpad`` would cut it)."""
+    text = col.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def replace_first(col: Column, pattern: str, replacement: str) -> Column:
     """Replace the first match only (``regexp_replace`` replaces all of them)."""
     return F.regexp_replace(col, f"^((?s:.*?))(?:{pattern})", "$1" + replacement)

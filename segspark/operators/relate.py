@@ -11,14 +11,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segspark.functions import pad_code
+
 
 def record_geography(records: DataFrame, geography: DataFrame, key: str, width: int) -> DataFrame:
     """Data records with the geography of the same record number.
 
-    The geography file holds the number as a number, the data file as zero-padded text.
+    The geography file holds the number as a number, the data file as text, zero-padded to ``width`` digits
+    and longer where the number is.
     Records without a geography of the chosen level drop out.
     """
-    padded = F.lpad(F.col(key).cast("long").cast("string"), width, "0")
+    padded = pad_code(F.col(key).cast("long"), width)
     return records.join(geography.withColumn(key, padded), key, "inner")
 
 
@@ -42,9 +45,7 @@ def assign_place(df: DataFrame, unit_place: DataFrame, unit: str, place: str,
 
 
 def attach_literal(df: DataFrame, key: str, mapping: Mapping[str, str], out: str) -> DataFrame:
-    """A dimension given in code, as a join with a broadcast of that fixed size."""
-    if len(mapping) > 10_000:
-        raise ValueError("a dimension this long belongs in a table")
+    """A dimension given in code, as a join; Spark broadcasts it if it is small."""
     spark = df.sparkSession
     dim = spark.createDataFrame(list(mapping.items()), f"`{key}` string, `{out}` string")
-    return df.join(F.broadcast(dim), key, "left")
+    return df.join(dim, key, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segspark import sources
+from segspark.functions import pad_code
 from segspark.plans.inputs import CELL, cell, table
 from segspark.plans.registry import query
 from segspark.session import scratch_dir
@@ -18,25 +19,29 @@ CUSTOMER_LAYOUT = [
 
 
 @query("fwf_scan", """select c_custkey::double c_custkey, c_name, c_nationkey::double c_nationkey, c_acctbal, c_mktsegment,
- lpad(cast(c_custkey % 1000 as varchar), 5, '0') zip from customer""")
+ printf('%05d', c_custkey % 1000) zip from customer""")
 def q_fwf(spark, sf):
-    """Customers written as fixed-width text and read back through the layout."""
+    """Customers written as fixed-width text and read back through a layout table."""
     path = scratch_dir(spark, "fwf")
-    data = table(spark, sf, "customer").withColumn("zip", F.lpad((F.col("c_custkey") % 1000).cast("string"), 5, "0"))
-    sources.write_fixed_width(data, path, CUSTOMER_LAYOUT)
-    return sources.read_fixed_width(spark, path, CUSTOMER_LAYOUT)
+    fields = [(i, f.name, f.width, f.start, f.kind) for i, f in enumerate(CUSTOMER_LAYOUT)]
+    layout = sources.layout_fields(spark.createDataFrame(
+        fields, "pos int, ddref string, field_size int, starting_pos int, data_type string"))
+    data = table(spark, sf, "customer").withColumn("zip", pad_code(F.col("c_custkey") % 1000, 5))
+    sources.write_fixed_width(data, path, layout)
+    return sources.read_fixed_width(spark, path, layout)
 
 
-@query("delimited_scan", """select lpad(cast(o_orderkey as varchar), 7, '0') "LOGRECNO", o_orderstatus "STUSAB",
+@query("delimited_scan", """select printf('%07d', o_orderkey) "LOGRECNO", o_orderstatus "STUSAB",
  cast(o_custkey as int) "P0010001", cast(o_custkey % 5 as int) "P0010003", cast(o_custkey % 73 as int) "P0020073" from orders""")
 def q_delimited(spark, sf):
     """A headerless file of 149 generated columns, of which five are read."""
     path = scratch_dir(spark, "delimited")
+    # Names of the record header.
     names = ["FILEID", "STUSAB", "CHARITER", "CIFSN", "LOGRECNO"]
     counts = sources.numbered_names("P00100", 1, 71) + sources.numbered_names("P00200", 1, 73)
     key = F.col("o_custkey")
     first = {c: (key if i == 0 else key % (i + 3)) for i, c in enumerate(sources.numbered_names("P00100", 1, 71))}
-    cols = [F.lit("uPL"), F.col("o_orderstatus"), F.lit("000"), F.lit("01"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")]
+    cols = [F.lit("uPL"), F.col("o_orderstatus"), F.lit("000"), F.lit("01"), pad_code(F.col("o_orderkey"), 7)]
     cols += list(first.values()) + [key % i if i > 1 else F.lit(0) for i in range(1, 74)]
     table(spark, sf, "orders").select(*[c.alias(n) for c, n in zip(cols, names + counts)]).write.csv(path)
     schema = sources.schema_from_codes(names + counts, "c" * 5 + "i" * 144)
@@ -44,11 +49,12 @@ def q_delimited(spark, sf):
     return wide.select("LOGRECNO", "STUSAB", "P0010001", "P0010003", "P0020073")
 
 
+# Column names of the file kind that is read.
 AGE_NAMES = ["STATE", "COUNTY", "TRACT", "BLKGRP", "age_group", "DP", "CENSUS"]
 
 
-@query("typed_csv_scan", """select lpad(cast(s_nationkey as varchar), 2, '0') "STATE", lpad(cast(s_nationkey as varchar), 3, '0') "COUNTY",
- lpad(cast(l_suppkey as varchar), 6, '0') "TRACT", cast(l_suppkey % 9 as varchar) "BLKGRP", l_returnflag age_group,
+@query("typed_csv_scan", """select printf('%02d', s_nationkey) "STATE", printf('%03d', s_nationkey) "COUNTY",
+ printf('%06d', l_suppkey) "TRACT", cast(l_suppkey % 9 as varchar) "BLKGRP", l_returnflag age_group,
  cast(sum(case when l_linestatus = 'O' then 1 else 0 end) as int) "DP", cast(count(*) as int) "CENSUS"
 from lineitem join supplier on l_suppkey = s_suppkey group by s_nationkey, l_suppkey, l_returnflag""")
 def q_typed_csv(spark, sf):
@@ -57,7 +63,7 @@ def q_typed_csv(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
         F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("DP"), F.count(F.lit(1)).alias("CENSUS"))
     rows = counts.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    pad = lambda c, n: pad_code(F.col(c), n)
     sources.write_csv(rows.select(
         pad("s_nationkey", 2).alias("STATE"), pad("s_nationkey", 3).alias("COUNTY"), pad("l_suppkey", 6).alias("TRACT"),
         (F.col("l_suppkey") % 9).cast("string").alias("BLKGRP"), F.col("l_returnflag").alias("age_group"), "DP", "CENSUS"), path)

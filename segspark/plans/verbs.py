@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segspark.functions import inverse_logit, invert, replace_first, squash_suffix, tidy
+from segspark.functions import inverse_logit, invert, pad_code, replace_first, squash_suffix, tidy
 from segspark.operators import ranking, relate, reshape
 from segspark.operators.permute import expand_counts
 from segspark.plans.inputs import (
@@ -95,22 +95,22 @@ def q_band_sum(spark, sf):
     return wide.select("o_custkey", *[c.alias(b) for b, c in bands.items()])
 
 
-@query("key_build", """select c_custkey, lpad(cast(c_nationkey as varchar), 2, '0') || lpad(cast(c_custkey % 1000 as varchar), 3, '0') "COUNTY",
- lpad(cast(c_nationkey as varchar), 2, '0') || c_mktsegment "TRACT" from customer""")
+@query("key_build", """select c_custkey, printf('%02d', c_nationkey) || printf('%03d', c_custkey % 1000) "COUNTY",
+ printf('%02d', c_nationkey) || c_mktsegment "TRACT" from customer""")
 def q_key_build(spark, sf):
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    pad = pad_code
     rows = table(spark, sf, "customer").select(
         "c_custkey", pad(F.col("c_nationkey"), 2).alias("st"), pad(F.col("c_custkey") % 1000, 3).alias("co"), "c_mktsegment")
     return reshape.build_keys(rows, {"COUNTY": ["st", "co"], "TRACT": ["st", "c_mktsegment"]}).select("c_custkey", "COUNTY", "TRACT")
 
 
-@query("key_split", """with g as (select o_orderkey, lpad(cast(o_orderkey as varchar), 15, '0') "GEOID" from orders)
+@query("key_split", """with g as (select o_orderkey, printf('%015d', o_orderkey) "GEOID" from orders)
 select o_orderkey, substr("GEOID", 1, 2) "STATE", substr("GEOID", 3, 3) "COUNTY", substr("GEOID", 6, 6) "TRACT",
  substr("GEOID", 12, 1) "BLKGRP", substr("GEOID", 13, 3) "BLOCK" from g""")
 def q_key_split(spark, sf):
     # Positions of the parts of a 15-digit block code.
     parts = {"STATE": (1, 2), "COUNTY": (3, 5), "TRACT": (6, 11), "BLKGRP": (12, 12), "BLOCK": (13, 15)}
-    rows = table(spark, sf, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 15, "0").alias("GEOID"))
+    rows = table(spark, sf, "orders").select("o_orderkey", pad_code(F.col("o_orderkey"), 15).alias("GEOID"))
     return reshape.split_key(rows, "GEOID", parts).drop("GEOID")
 
 
@@ -152,7 +152,7 @@ def q_pivot(spark, sf):
     return reshape.to_wide(long, ["block", "race"], "name", "value", ["DP", "CENSUS"])
 
 
-@query("melt_dcast", """select lpad(cast(o_custkey as varchar), 6, '0') "GEOID", o_orderpriority "RACE",
+@query("melt_dcast", """select printf('%06d', o_custkey) "GEOID", o_orderpriority "RACE",
  cast(sum(case when o_orderkey % 3 <> 0 then 1 else 0 end) as bigint) "Census",
  cast(sum(case when o_orderkey % 3 <> 1 then 1 else 0 end) as bigint) "DP" from orders group by o_custkey, o_orderpriority""")
 def q_melt(spark, sf):
@@ -164,10 +164,10 @@ def q_melt(spark, sf):
     for code, g in codes.items():
         aggs += [F.sum(F.when(pr == g, (key % 3 != 0).cast("long"))).alias(f"{code}_sf"),
                  F.sum(F.when(pr == g, (key % 3 != 1).cast("long"))).alias(f"{code}_dp")]
-    wide = table(spark, sf, "orders").groupBy(F.concat(F.lit("G"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("id")).agg(*aggs)
+    wide = table(spark, sf, "orders").groupBy(F.concat(F.lit("G"), pad_code(F.col("o_custkey"), 6)).alias("id")).agg(*aggs)
     long = reshape.to_long(wide, ["id"], [c for c in wide.columns if c != "id"], "variable", "value").where(F.col("value").isNotNull())
     long = long.select(
-        F.substring("id", 2, 6).alias("GEOID"), reshape.recode_prefix(F.col("variable"), 4, codes).alias("RACE"),
+        F.expr("substring(id, 2)").alias("GEOID"), reshape.recode_prefix(F.col("variable"), 4, codes).alias("RACE"),
         F.when(F.col("variable").endswith("sf"), "Census").otherwise("DP").alias("Type"), "value")
     return reshape.to_wide(long, ["GEOID", "RACE"], "Type", "value", ["Census", "DP"])
 
@@ -183,7 +183,7 @@ def q_paired(spark, sf):
     orders, stacked = table(spark, sf, "orders"), None
     for source, dropped in (("DP", 1), ("CENSUS", 0)):
         hit = (F.col("o_orderkey") % 3 != dropped).cast("long")
-        file = orders.groupBy(F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("LOGRECNO")).agg(
+        file = orders.groupBy(pad_code(F.col("o_custkey"), 12).alias("LOGRECNO")).agg(
             *[F.sum(F.when(F.col("o_orderpriority") == g, hit)).alias(g) for g in PRIORITIES])
         placed = relate.record_geography(file, geo, "LOGRECNO", 12).drop("LOGRECNO").withColumn("SOURCE", F.lit(source))
         stacked = placed if stacked is None else stacked.unionByName(placed)
@@ -196,19 +196,17 @@ def q_age_band(spark, sf):
     """Variables to bands by the dimension, summed, paired with the other source on the full key."""
     keys = ["cbsa", "tract", "blkgrp", "age_group"]
     coded = age_long(spark, sf).join(age_vars(spark, sf).select("base", "age_group"), "base")
-    dp = coded.groupBy(*keys).agg(F.sum("dp").alias("dp"))
-    census = coded.groupBy(*keys).agg(F.sum("census").alias("census"))
-    return dp.join(census, keys, "left")
+    return coded.groupBy(*keys).agg(F.sum("dp").alias("dp"), F.sum("census").alias("census"))
 
 
 # --- joins ------------------------------------------------------------------------------------
 
 
-@query("join_record_geo", """select lpad(cast(o_custkey as varchar), 7, '0') "LOGRECNO", o_orderkey, c_nationkey from orders
+@query("join_record_geo", """select printf('%07d', o_custkey) "LOGRECNO", o_orderkey, c_nationkey from orders
  join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'""")
 def q_record_geo(spark, sf):
     geo = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("LOGRECNO"), "c_nationkey")
-    rec = table(spark, sf, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("LOGRECNO"), "o_orderkey")
+    rec = table(spark, sf, "orders").select(pad_code(F.col("o_custkey"), 7).alias("LOGRECNO"), "o_orderkey")
     return relate.record_geography(rec, geo, "LOGRECNO", 7)
 
 
@@ -279,10 +277,10 @@ def q_sort(spark, sf):
 
 
 @query("sort_abs_topk", f"""with {CELL} select block, race, dp - census diff from cell where census <> 0
- order by abs(dp - census) desc, block, race limit 50""")
+ order by abs(dp - census), block, race""")
 def q_topk(spark, sf):
     d = (F.col("dp") - F.col("census")).alias("diff")
-    return cell(spark, sf).where(F.col("census") != 0).select("block", "race", d).orderBy(F.abs("diff").desc(), "block", "race").limit(50)
+    return cell(spark, sf).where(F.col("census") != 0).select("block", "race", d).orderBy(F.abs("diff"), "block", "race")
 
 
 @query("union_sources", """select o_orderkey id, o_orderpriority label, 'orders' source, cast(null as double) price from orders

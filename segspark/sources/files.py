@@ -43,11 +43,13 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[Field]) ->
 
 
 def write_fixed_width(df: DataFrame, path: str, layout: Sequence[Field]) -> None:
-    """Numbers right-aligned, text left-aligned, each padded to its width."""
+    """Numbers right-aligned, text left-aligned, each padded to its width; a longer value is an error."""
     parts = []
     for f in layout:
         text = F.coalesce(F.col(f.name).cast("string"), F.lit(""))
-        parts.append(F.lpad(text, f.width, " ") if f.kind == "N" else F.rpad(text, f.width, " "))
+        padded = F.lpad(text, f.width, " ") if f.kind == "N" else F.rpad(text, f.width, " ")
+        wide = F.raise_error(F.concat(F.lit(f"value wider than field {f.name} of {f.width}: "), text))
+        parts.append(F.when(F.length(text) > f.width, wide).otherwise(padded))
     df.select(F.concat(*parts).alias("value")).write.mode("overwrite").text(path)
 
 
