@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from segspark.functions.numeric import safe_div, xlnx
 from segspark.operators.reshape import to_long, to_wide
@@ -76,8 +77,7 @@ def type_means(df: DataFrame, keys: Sequence[str], value: str, complement: str,
 
 def numeric_means(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean of every numeric column that is not a key, undefined values left out."""
-    numeric = {"byte", "short", "integer", "long", "float", "double"}
-    cols = [f.name for f in df.schema if f.dataType.typeName() in numeric and f.name not in keys]
+    cols = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in keys]
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 

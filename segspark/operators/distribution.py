@@ -12,13 +12,13 @@ from segspark.functions.binning import equal_width_bin
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000, few_groups: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """Interpolated quantiles (position ``1 + (n-1) p``) per group, exact without sorting a group.
 
     A sketch with a known rank error brackets every quantile. Rows below a bracket are only
     counted, rows above it are dropped, and just the distinct values inside it are shuffled and
-    put in order. The brackets are read first: up to ``few_groups`` groups they are sent to the
-    rows, with more groups the two are joined by key.
+    put in order. Brackets and rows meet in a join by key, which Spark turns into a broadcast where
+    the brackets are few.
     """
     by, probs = list(by), [float(p) for p in probs]
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
@@ -39,9 +39,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
         ends.append(F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"_lo{i}"))
         ends.append(F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"_hi{i}"))
     brackets = sketch.select(*by, "_n", *ends)
-    rows = brackets.limit(few_groups + 1).collect()
-    if len(rows) <= few_groups:
-        brackets = F.broadcast(df.sparkSession.createDataFrame(rows, brackets.schema))
     joined = known.join(brackets, by)
     x = F.col("_x")
     # One entry per quantile: the value inside its bracket, NULL below, nothing above.

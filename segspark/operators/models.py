@@ -69,17 +69,24 @@ def _solve(names: Sequence[str], label: str, row: pd.Series, tag: str) -> list[t
             S[i, j] = row[f"c{a}_{b}{tag}"]
     sy = np.array([row[f"y{i}{tag}"] for i in range(k)])
     means = np.array([row[f"m{i}{tag}"] for i in range(k)])
-    inv = np.linalg.inv(S)
-    beta = inv @ sy
-    rss = max((n - 1) * (yy - beta @ sy), 0.0)
-    tss = (n - 1) * yy
-    dof = n - k - 1
+    # A term that the terms before it explain is aliased: it has no estimate and the others keep theirs.
+    free = []
+    for i in range(k if n > 1 else 0):
+        rest = S[i, i] - (S[i, free] @ np.linalg.solve(S[np.ix_(free, free)], S[free, i]) if free else 0.0)
+        if rest > 1e-12 * S[i, i] > 0 and len(free) < n - 1:
+            free.append(i)
+    inv = np.linalg.inv(S[np.ix_(free, free)])
+    coef, centre = inv @ sy[free], means[free]
+    rss = max((n - 1) * (yy - coef @ sy[free]), 0.0) if n > 1 else 0.0
+    tss = (n - 1) * yy if n > 1 else 0.0
+    dof = n - len(free) - 1
     s2 = rss / dof if dof > 0 else np.nan
-    var = s2 * inv / (n - 1)
-    var0 = s2 / n + means @ var @ means
-    est = [my - beta @ means, *beta]
-    se = [np.sqrt(var0), *np.sqrt(np.diag(var))]
-    bic = n * np.log(rss / n) + n + n * np.log(2 * np.pi) + (k + 2) * np.log(n) if rss > 0 else np.nan
+    var = s2 * inv / max(n - 1, 1)
+    beta, errors = np.full(k, np.nan), np.full(k, np.nan)
+    beta[free], errors[free] = coef, np.sqrt(np.diag(var))
+    est = [my - coef @ centre if n else np.nan, *beta]
+    se = [np.sqrt(s2 / n + centre @ var @ centre) if n else np.nan, *errors]
+    bic = n * np.log(rss / n) + n + n * np.log(2 * np.pi) + (len(free) + 2) * np.log(n) if rss > 0 else np.nan
     out = []
     for term, e, s in zip(["(Intercept)", *names], est, se):
         t = e / s if s > 0 else np.nan
@@ -93,7 +100,8 @@ def ols_models(df: DataFrame, models: Mapping[str, tuple[Column, Mapping[str, Co
     Gives estimate, standard error, t, p, and n, R2, RSS, BIC. One pass over the rows serves
     all models: built-in mean and covariance aggregates, which are stable and merge in any
     order, give the normal equations in centred form. Every model leaves out its own unusable
-    rows. Only those few numbers reach the solver, as a single row.
+    rows. Only those few numbers reach the solver, as a single row. A model with
+    too few rows, and an aliased term, get rows with NULL estimates.
     """
     made, stats = {}, {}
     for m, (response, terms) in enumerate(models.values()):
@@ -113,8 +121,7 @@ def ols_models(df: DataFrame, models: Mapping[str, tuple[Column, Mapping[str, Co
             rows = []
             for _, one in batch.iterrows():
                 for m, (label, names) in enumerate(plans):
-                    if one[f"n_{m}"] > len(names):
-                        rows += _solve(names, label, one, f"_{m}")
+                    rows += _solve(names, label, one, f"_{m}")
             yield pd.DataFrame(rows, columns=columns)
 
     sums = df.select(*[c.alias(k) for k, c in made.items()]).agg(*[F.expr(e).alias(k) for k, e in stats.items()])
@@ -122,9 +129,13 @@ def ols_models(df: DataFrame, models: Mapping[str, tuple[Column, Mapping[str, Co
 
 
 def contrasts(factor: str, levels: Sequence[str]) -> dict[str, Column]:
-    """Indicator terms of a categorical predictor; the first level is the base."""
+    """Indicator terms of a categorical predictor; the first level is the base, a level that is not listed an error."""
     known = F.col(factor).isin(list(levels))
-    return {f"{factor}{v}": F.when(known, (F.col(factor) == v).cast("double")) for v in levels[1:]}
+    other = F.raise_error(F.concat(F.lit(f"level of {factor} not listed: "), F.col(factor).cast("string")))
+    return {
+        f"{factor}{v}": F.when(known, (F.col(factor) == v).cast("double")).when(~known, other.cast("double"))
+        for v in levels[1:]
+    }
 
 
 def ols(df: DataFrame, response: Column, terms: Mapping[str, Column], label: str = "model") -> DataFrame:

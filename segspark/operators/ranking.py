@@ -19,9 +19,17 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 
 def max_with_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """All rows that reach the maximum of their group; cut per task as above."""
-    w = Window.partitionBy(*keys).orderBy(F.col(value).desc())
-    return df.withColumn("_rk", F.rank().over(w)).where(F.col("_rk") == 1).drop("_rk")
+    """All rows that reach the maximum of their group; a group without a value keeps all its rows.
+
+    The maxima are partial aggregates and the rows meet them in a join, whose skewed partitions Spark
+    splits: any number of ties may share a key.
+    """
+    best = df.groupBy(*keys).agg(F.max(value).alias("_best")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_best")
+    same = F.col(value).eqNullSafe(F.col("_best"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(best, same, "left_semi")
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], shares: dict[str, str]) -> DataFrame:
@@ -59,14 +67,15 @@ def layout_mismatches(layout: DataFrame, file_keys: Sequence[str], order: Sequen
     return rows.where(F.col("expected_pos") != F.col(start))
 
 
-def dense_row_id(df: DataFrame, key: str, out: str = "id", buckets: int = 256) -> DataFrame:
+def dense_row_id(df: DataFrame, key: str, out: str = "id", buckets: int | None = None) -> DataFrame:
     """``1..n`` in the order of a unique key, without a window over the whole table.
 
     Rows are cut into key ranges, numbered inside each range, and shifted by the number of
     rows in the ranges before it. The range edges come from a sample of bounded size; they
-    only balance the work, any edges give the same ids.
+    only balance the work, any edges give the same ids. Without ``buckets`` a range holds about a million rows.
     """
     n = df.count()
+    buckets = buckets or max(16, -(-n // 1_000_000))
     fraction = min(1.0, 20.0 * buckets / n) if n else 1.0
     known = df.select(key).where(F.col(key).isNotNull())
     sample = sorted(r[0] for r in known.sample(False, fraction, 7).collect())
@@ -74,7 +83,7 @@ def dense_row_id(df: DataFrame, key: str, out: str = "id", buckets: int = 256) -
     edges = sorted(set(sample[step::step]))[:buckets]
     rows = df.withColumn("_part", F.coalesce(_range_of(F.col(key), edges), F.lit(0)))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # At most buckets + 1 rows reach this window.
+    # One row per range reaches this window.
     w_all = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from segspark.operators import theil
 from segspark.operators.theil import Hierarchy
 
+# Vectors of the published worked example.
 GROUPS = ["B", "W"] * 4
 TRACTS = ["1"] * 4 + ["2"] * 4
 BLOCKS = ["1", "1", "2", "2", "3", "3", "4", "4"]
