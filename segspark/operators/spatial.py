@@ -179,7 +179,16 @@ def ring_overlap_area(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b
     """
     ea = ring_edges(a, a_id, a_ring, strip, "_a_")
     eb = ring_edges(b, b_id, b_ring, strip, "_b_")
-    m = pairs.select(a_id, b_id).join(ea, a_id).join(eb, [b_id, "_strip"])
+    # Only the strips that both polygons reach: no pair is multiplied by edges outside them.
+    width = float(strip)
+    reach = lambda df, key, ring, p: df.select(
+        key, F.array_min(F.transform(ring, lambda q: q["x"])).alias(p + "0"), F.array_max(F.transform(ring, lambda q: q["x"])).alias(p + "1"))
+    first, last = F.greatest("_ra0", "_rb0"), F.least("_ra1", "_rb1")
+    strips = (
+        pairs.select(a_id, b_id).join(reach(a, a_id, a_ring, "_ra"), a_id).join(reach(b, b_id, b_ring, "_rb"), b_id).where(first <= last)
+        .select(a_id, b_id, F.explode(F.sequence(F.floor(first / width), F.floor(last / width))).alias("_strip"))
+    )
+    m = strips.join(ea, [a_id, "_strip"]).join(eb, [b_id, "_strip"])
     l, r = F.greatest("_a_xl", "_b_xl"), F.least("_a_xr", "_b_xr")
 
     def y_at(p: str, x: Column) -> Column:
@@ -216,16 +225,20 @@ def assign_largest_overlap(pairs: DataFrame, unit: str, place: str, area: str,
 
 def adjacency(df: DataFrame, key: str, ring: str = "ring", snap: float = 1e-6,
               hot: int = 20_000) -> DataFrame:
-    """Pairs ``id1 < id2`` of polygons that share at least one vertex (queen contiguity).
+    """Pairs ``id1 < id2`` of polygons with vertices no further apart than ``snap`` on either axis (queen contiguity).
 
-    Vertices are snapped to a lattice and joined by equality; no two polygons are compared
-    unless they are neighbours.
+    Vertices meet in the cells of a lattice: one side stands in its own cell, the other in every cell that it
+    comes within ``snap`` of, so neighbours on both sides of a cell's border are found. No two polygons are
+    compared unless they have vertices in one cell.
     """
-    v = df.select(F.col(key), F.explode(ring).alias("_p")).select(
-        key, F.round(F.col("_p.x") / snap).cast("long").alias("_vx"),
-        F.round(F.col("_p.y") / snap).cast("long").alias("_vy"),
-    ).distinct()
-    left = v.withColumnRenamed(key, "id1")
-    right = v.withColumnRenamed(key, "id2")
+    cell = 8 * snap
+    v = df.select(F.col(key), F.explode(ring).alias("_p")).select(key, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")).distinct()
+    at = lambda c, d: F.floor((F.col(c) + d) / cell)
+    left = v.select(F.col(key).alias("id1"), F.col("_x").alias("_x1"), F.col("_y").alias("_y1"), at("_x", 0.0).alias("_vx"), at("_y", 0.0).alias("_vy"))
+    near = F.array_distinct(F.array(*[
+        F.struct(at("_x", dx).alias("x"), at("_y", dy).alias("y")) for dx in (-snap, snap) for dy in (-snap, snap)]))
+    right = v.withColumn("_c", F.explode(near)).select(
+        F.col(key).alias("id2"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_c.x").alias("_vx"), F.col("_c.y").alias("_vy"))
     met = spread_join(left, right, ["_vx", "_vy"], hot, "id1", "id2")
-    return met.where(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
+    close = (F.abs(F.col("_x1") - F.col("_x2")) <= snap) & (F.abs(F.col("_y1") - F.col("_y2")) <= snap)
+    return met.where((F.col("id1") < F.col("id2")) & close).select("id1", "id2").distinct()

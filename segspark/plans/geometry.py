@@ -79,7 +79,7 @@ MIN_INT = """case when (al - bl) * (ar - br) >= 0 then (case when al + ar <= bl
  else (case when al < bl then (al + m) / 2 * t + (m + br) / 2 * (1 - t) else (bl + m) / 2 * t + (m + ar) / 2 * (1 - t) end) * (r - l) end"""
 
 
-@query("overlay_area_rings", f"""with {UNIT_RING}, {PLACE_RING}, {edges_sql('ue', 'uring', 'geoid')}, {edges_sql('pe', 'pring', 'place')},
+OVERLAY_RINGS = f"""with {UNIT_RING}, {PLACE_RING}, {edges_sql('ue', 'uring', 'geoid')}, {edges_sql('pe', 'pring', 'place')},
 ed as (select geoid, place, sign(u.qx - u.px) * sign(p.qx - p.px) s, greatest(least(u.px, u.qx), least(p.px, p.qx)) l, least(greatest(u.px, u.qx), greatest(p.px, p.qx)) r,
   u.px ax, u.py ay, (u.qy - u.py) / nullif(u.qx - u.px, 0) ak, p.px bx, p.py by_, (p.qy - p.py) / nullif(p.qx - p.px, 0) bk from ue u, pe p where u.px <> u.qx and p.px <> p.qx),
 v as (select geoid, place, s, l, r, ay + ak * (l - ax) al, ay + ak * (r - ax) ar, by_ + bk * (l - bx) bl, by_ + bk * (r - bx) br from ed where l < r),
@@ -87,7 +87,10 @@ w as (select *, (al - bl) / nullif((al - bl) - (ar - br), 0) t, al + (ar - al) *
 bb as (select geoid, place, max(u.px) ux1, min(u.px) ux0, max(u.py) uy1, min(u.py) uy0, max(p.px) px1, min(p.px) px0, max(p.py) py1, min(p.py) py0 from ue u, pe p group by geoid, place),
 area as (select geoid, place, abs(sum(s * {MIN_INT})) a from w group by geoid, place)
 select geoid, place, round(coalesce(a, 0), 6) + 0.0 as area from bb left join area using (geoid, place)
-where greatest(ux0, px0) < least(ux1, px1) and greatest(uy0, py0) < least(uy1, py1)""")
+where greatest(ux0, px0) < least(ux1, px1) and greatest(uy0, py0) < least(uy1, py1)"""
+
+
+@query("overlay_area_rings", OVERLAY_RINGS)
 def q_overlay_rings(spark, sf):
     """Common area of pentagons and diamonds, for the pairs whose boxes overlap."""
     return ring_overlaps(spark, sf).select("geoid", "place", tidy(F.col("area")).alias("area"))
@@ -102,6 +105,17 @@ def q_assign(spark, sf):
     return relate.assign_place(unit_box(spark, sf).select("geoid"), named, "geoid", "name_full")
 
 
+@query("largest_overlap_assign_rings", f"""with {UNIT_BOX}, a as ({OVERLAY_RINGS}),
+m as (select geoid, place from (select *, row_number() over (partition by geoid order by area desc, place) rn from a where area > 0.001) where rn = 1)
+select u.geoid, coalesce('Place' || cast(m.place as varchar), 'No Place') name_full from unit_box u left join m on u.geoid = m.geoid""")
+def q_assign_rings(spark, sf):
+    """Assignment by the common area of the true shapes; slivers count for nothing, the first place wins a tie."""
+    areas = ring_overlaps(spark, sf).select("geoid", "place", tidy(F.col("area")).alias("area"))
+    best = spatial.assign_largest_overlap(areas, "geoid", "place", "area", ties="first", least=0.001)
+    named = best.select("geoid", F.concat(F.lit("Place"), F.col("place").cast("string")).alias("name_full"))
+    return relate.assign_place(unit_box(spark, sf).select("geoid"), named, "geoid", "name_full")
+
+
 @query("central_place_by_overlay", f"""with {PLACE_BOX}, {METRO_BOX}, o as (select u.metro, p.place, p.estimate from metro_box u join place_box p on {OVERLAP})
 select metro, place, estimate from (select *, row_number() over (partition by metro order by estimate desc, place) rn from o) where rn = 1""")
 def q_central(spark, sf):

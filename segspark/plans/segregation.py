@@ -246,21 +246,23 @@ def q_center_place(spark, sf):
     return top.select("cbsa", F.col("name_full").alias("center"), "pop")
 
 
-CENTER_UNITS = """cu as (select distinct blkgrp from unit_place where name_full = 'Place1')"""
+CENTER_UNITS = """cu as (select distinct ctr.cbsa, blkgrp from ctr join unit_place on name_full = center)"""
 
 
-@query("center_periphery", f"""with {CELL}, {UNIT_PLACE}, {CENTER_UNITS}, flong as (
- select cbsa, "name", case when blkgrp in (select blkgrp from cu) then '1' else '0' end tract, block, race, "value" from (
+@query("center_periphery", f"""with {PLACED}, {CENTER_UNITS}, flong as (
+ select cbsa, "name", case when (cbsa, blkgrp) in (select (cbsa, blkgrp) from cu) then '1' else '0' end tract, block, race, "value" from (
   select cbsa, 'CENSUS' as "name", blkgrp, block, race, census as "value" from cell where not (census = 0 and dp = 0)
   union all select cbsa, 'DP', blkgrp, block, race, dp from cell where not (census = 0 and dp = 0))
  where race in ({FOUR_SQL})),
  {direct_theil('d', 'flong', 'cbsa, "name"', 'tract', 'block', 'race')}
 select cbsa, "name", {rounded('Hw, H, totalE, Hb, Pb')} from d""")
 def q_center_periphery(spark, sf):
-    """Mid = inside or outside the central place, as a 0/1 membership column."""
-    members = unit_place(spark, sf).where(F.col("name_full") == "Place1").select("blkgrp")
+    """Mid = inside or outside the central place of the scope, as a 0/1 membership column."""
+    centers = q_center_place(spark, sf).select("cbsa", "center")
+    members = unit_place(spark, sf).join(centers, F.col("name_full") == F.col("center")).select("cbsa", "blkgrp").distinct()
     cells = reshape.both_zero_dropped(cell(spark, sf), "census", "dp").drop("tract")
-    flagged = relate.membership_flag(cells, "blkgrp", members, "tract")
+    inside = members.withColumn("_in", F.lit("1"))
+    flagged = cells.join(inside, ["cbsa", "blkgrp"], "left").withColumn("tract", F.coalesce("_in", F.lit("0"))).drop("_in")
     return rounded_cols(theil.decompose(flagged, FIVE, FOUR), CORE)
 
 
@@ -288,10 +290,10 @@ def q_type_between(spark, sf):
     return rounded_cols(type_means(typed, ["type", "name"], "Pb", "Pw"), ["value"])
 
 
-@query("type_focal_means", type_share_sql("Pbg", "Seg Between NW Groups"))
+@query("type_focal_means", type_share_sql("Pbg", "Between Groups Outside"))
 def q_type_focal(spark, sf):
     typed = relate.attach_distinct(metro_rolled(spark, sf), crosswalk(spark, sf), ["cbsa"], ["type"])
-    return rounded_cols(type_means(typed, ["type", "name"], "Pbg", "Seg Between NW Groups"), ["value"])
+    return rounded_cols(type_means(typed, ["type", "name"], "Pbg", "Between Groups Outside"), ["value"])
 
 
 @query("metric_panel", f"""with {METRO_LONG}, types as (select distinct cbsa, "type" from crosswalk), {focal_sql('mlong', leaf='blkgrp')},
