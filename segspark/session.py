@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,13 +39,16 @@ _own_base: dict[str, str] = {}
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a local folder made, one per
-    application.
+    Where the session names none, a local master gets a folder of its own, which goes when Python ends. Any other
+    master is refused: its machines would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_base:
-            _own_base[app] = tempfile.mkdtemp(prefix="segspark-")
-        base = _own_base[app]
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
+        if master not in _own_base:
+            _own_base[master] = tempfile.mkdtemp(prefix="segspark-")
+            atexit.register(shutil.rmtree, _own_base[master], ignore_errors=True)
+        base = _own_base[master]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
