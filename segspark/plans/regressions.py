@@ -104,9 +104,90 @@ def model_terms() -> dict:
     }
 
 
-@query("ols_coefficients")
+# The terms above, as SQL over the frame.
+TERM_SQL = {
+    "log_pop": "ln(total_pop)", "log_blocks": "ln(block_count)", "log_ratio": "case when nw_w_ratio > 0 then ln(nw_w_ratio) end",
+    "nw_w_ratio": "nw_w_ratio", "nw_w_ratio_sq": "nw_w_ratio * nw_w_ratio", "diversity": "diversity",
+    "typeMicropolitan": """case when "type" in ('Metropolitan', 'Micropolitan') then cast("type" = 'Micropolitan' as double) end""",
+} | {p: f'"{p}"' for p in list(SHARES)[1:]}
+BASE_TERMS = ["log_pop", "log_blocks"]
+EXPLANATIONS = {
+    "ratio": [*BASE_TERMS, "log_ratio"], "ratio_sq": [*BASE_TERMS, "nw_w_ratio", "nw_w_ratio_sq"],
+    "shares": [*BASE_TERMS, *list(SHARES)[1:]], "diversity": [*BASE_TERMS, "diversity"],
+}
+MODEL_SQL = {
+    "H ~ type": ('"H"', ["typeMicropolitan"]), "H ~ type + pop": ('"H"', ["typeMicropolitan", "log_pop"]), "H ~ pop": ('"H"', ["log_pop"]),
+    "abs H ~ pop": ('abs("H")', ["log_pop"]), "abs H ~ pop + blocks": ('abs("H")', BASE_TERMS),
+} | {f"{r} ~ {label}": (f'"{r}"', terms) for r in ("H", "Pbg") for label, terms in EXPLANATIONS.items()}
+
+
+def fits_sql(models_sql: dict) -> str:
+    """Every coefficient by successive residuals: all other terms, the constant among them, are swept out one after the other, then the term itself.
+
+    p is the t density integrated by Simpson's rule.
+    """
+    parts, ends = [], []
+    for m, (label, (y, terms)) in enumerate(models_sql.items()):
+        xs = ["1.0e0", *[TERM_SQL[t] for t in terms]]
+        cols = ", ".join(f"cast({x} as double) x{i}" for i, x in enumerate(xs))
+        known = " and ".join(f"isfinite(x{i}) and x{i} is not null" for i in range(len(xs)))
+        parts.append(f"m{m} as (select * from (select cast({y} as double) y, {cols} from frame) where y is not null and isfinite(y) and {known})")
+        parts.append(f"v{m} as (select count(*) n, avg(y) my, sum((y - my0) * (y - my0)) tss from (select *, avg(y) over () my0 from m{m}))")
+        for t, term in enumerate(["(Intercept)", *terms]):
+            order, last = [i for i in range(len(xs)) if i != t] + [t], f"m{m}"
+            for k, i in enumerate(order):
+                left = ["y", *[f"x{j}" for j in order[k + 1:]]]
+                swept = ", ".join(f"{c} - x{i} * (sum({c} * x{i}) over () / sum(x{i} * x{i}) over ()) {c}" for c in left)
+                name = f"r{m}_{t}_{k}"
+                parts.append(f"{name} as (select {swept} from {last})")
+                before, last = last, name
+            parts.append(f"""e{m}_{t} as (select '{label}' model, '{term}' term, a.b estimate, sqrt(c.rss / (n - {len(xs)}) / a.xx) std_error, n, {len(xs)} k, c.rss, tss
+ from (select sum(y * x{t}) / sum(x{t} * x{t}) b, sum(x{t} * x{t}) xx from {before}) a, (select sum(y * y) rss from {last}) c, v{m})""")
+            ends.append(f"select * from e{m}_{t}")
+    return f"""{', '.join(parts)}, fits as ({' union all '.join(ends)}),
+full_fits as (select *, estimate / std_error t, n - k dof, n * ln(rss / n) + n + n * ln(2 * pi()) + (k + 1) * ln(n) bic from fits),
+dens as (select *, exp(lgamma((dof + 1) / 2.0e0) - lgamma(dof / 2.0e0)) / sqrt(dof * pi()) c, abs(t) / 2000 h from full_fits)
+select model, term, estimate, std_error, t, greatest(0, 1 - 2 * c * h / 3 * list_sum(list_transform(range(2001),
+ lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + (i * h) * (i * h) / dof, -(dof + 1) / 2.0e0)))) p,
+ cast(n as bigint) n, 1 - rss / tss r2, rss, bic from dens"""
+
+
+FIT_COLS = ["estimate", "std_error", "t", "p", "r2", "rss", "bic"]
+FITS = "with {frame}, {fits}".replace("{frame}", FRAME)
+
+
+@query("ols_coefficients", f"""select model, term, n, {', '.join(f'round({c}, 5) + 0.0 as {c}' for c in FIT_COLS)}
+ from ({FITS.replace('{fits}', fits_sql(MODEL_SQL))})""")
 def q_ols_coefficients(spark, sf):
     """Coefficient tables with p values and BIC of all models of the errors, from one pass."""
+    fits = all_fits(spark, sf)
+    return fits.select("model", "term", "n", *[tidy(F.col(c), 5).alias(c) for c in FIT_COLS])
+
+
+def bic_of(response: str) -> str:
+    some = {k: v for k, v in MODEL_SQL.items() if k in [f"{response} ~ {label}" for label in EXPLANATIONS]}
+    return f"select distinct model, n, round(bic, 5) + 0.0 as bic from ({FITS.replace('{fits}', fits_sql(some))}) where term = '(Intercept)'"
+
+
+def bic_rows(spark, sf, response: str):
+    named = [f"{response} ~ {label}" for label in EXPLANATIONS]
+    rows = all_fits(spark, sf).where(F.col("model").isin(named) & (F.col("term") == "(Intercept)"))
+    return rows.select("model", "n", tidy(F.col("bic"), 5).alias("bic"))
+
+
+@query("bic_explanations_h", bic_of("H"))
+def q_bic_h(spark, sf):
+    """BIC of the four explanations of the error of H."""
+    return bic_rows(spark, sf, "H")
+
+
+@query("bic_explanations_pbg", bic_of("Pbg"))
+def q_bic_pbg(spark, sf):
+    """BIC of the four explanations of the error of the between-group share."""
+    return bic_rows(spark, sf, "Pbg")
+
+
+def all_fits(spark, sf):
     pop, blocks = {"log_pop": F.ln("total_pop")}, {"log_blocks": F.ln("block_count")}
     kind = models.contrasts("type", ["Metropolitan", "Micropolitan"])
     h, size = F.col("H"), F.abs("H")
