@@ -18,6 +18,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: The steps of the supported kind of tokenizer file.
 NORMALIZERS = [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: A plain word: letters that every step leaves alone but for their case. Final ASCII marks after it are cut off.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!-/:-@\\[-`{-~]+"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -53,8 +55,7 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     """
     symbols, n = list(symbols), len(symbols)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(*ranks[pair], i, *pair) for i in range(n - 1) if (pair := (symbols[i], symbols[i + 1])) in ranks]
-    queue = [(rank, i, left, right, merged) for rank, merged, i, left, right in queue]
+    queue = [(found[0], i, *pair, found[1]) for i, pair in enumerate(zip(symbols, symbols[1:])) if (found := ranks.get(pair))]
     heapq.heapify(queue)
     while queue:
         _, i, left, right, merged = heapq.heappop(queue)
@@ -92,19 +93,25 @@ class Vocabulary:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")" if self.added else "(?!)")
         self.cut = regex.compile(PATTERN)
         self.tokens = {i: t for t, i in (ids | self.added).items()}
+        self.plain, self.marked = re.compile(LETTERS), re.compile(f"({LETTERS})({MARKS})")
         self.pieces = BoundedDict(self.encode_piece)
-        self.words = BoundedDict(self.encode_word, 200_000)
+        # Words in lower case: many more than pieces that come again, and each costs its merges.
+        self.words = BoundedDict(self.encode_word, 1_200_000)
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> bytes:
         data = word.encode()
         symbols = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
-        return merge_symbols([s for s in symbols if s is not None], self.ranks)
+        return np.array(merge_symbols([s for s in symbols if s is not None], self.ranks), "<i4").tobytes()
 
     def encode_piece(self, piece: str) -> bytes:
-        out: list[int] = []
+        if found := self.marked.fullmatch(piece):
+            return self.words[found[1].lower()] + self.pieces[found[2]]
+        if self.plain.fullmatch(piece):
+            return self.words[piece.lower()]
+        out: list[bytes] = []
         for part in self.marks.split(piece):
             if part in self.added:
-                out.append(self.added[part])
+                out.append(np.array([self.added[part]], "<i4").tobytes())
             elif part:
                 # Lower case character by character: no rule that looks at neighbours.
                 plain = "".join(map(str.lower, unicodedata.normalize("NFC", part))) if not part.isascii() else part.lower()
@@ -112,8 +119,8 @@ class Vocabulary:
                 # only for the letters and capitals of scripts that were added in the version after them.
                 shape = plain if plain.isascii() else "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in plain)
                 for found in self.cut.finditer(shape):
-                    out += self.words[plain[found.start():found.end()]]
-        return np.array(out, "<i4").tobytes()
+                    out.append(self.words[plain[found.start():found.end()]])
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers. White space ends every token, so the text is encoded piece by piece."""
@@ -149,7 +156,7 @@ def bpe_decode(ids: Column | str, file: str) -> Column:
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
         vocabulary = _of_worker(file)
-        return pa.array([vocabulary.decode(r.values.to_pylist() if r.is_valid else []) for r in rows], pa.string())
+        return pa.array([vocabulary.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid else []) for r in rows], pa.string())
 
     return decode(ids)
 
