@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segspark.llm.bpe import splits_words, tokenizer_path
+from segspark.llm.bpe import LETTERS, MARKS, splits_words, tokenizer_path
 from segspark.llm.common import BoundedDict, documents, pieces, store, worker_cache
 from segspark.session import scratch_dir
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 #: Tokens that a reader hands on at once, at least a document.
 BLOCK = 1 << 20
+#: Texts whose new words are encoded together; pieces that a worker remembers.
+TEXTS, KNOWN = 64, 1_500_000
 NO_KEY = np.iinfo(np.int64).min
-#: Letters that every step of the tokenizer leaves alone but for their case, and such a word before final marks.
-LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 def _filesystem(path: str):
@@ -48,8 +48,30 @@ class _Pieces(BoundedDict):
         self.tokenizer.no_truncation()
         with open(file) as f:
             self.splits = splits_words(json.load(f))
-        self.plain, self.marked = re.compile(LETTERS), re.compile(f"({LETTERS})([.,]+)")
-        super().__init__(self.encode)
+        self.plain, self.marked = re.compile(LETTERS), re.compile(f"({LETTERS})({MARKS})")
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        super().__init__(self.encode, KNOWN)
+
+    def prepare(self, rows: list[list[str]]) -> None:
+        """Encodes the plain words of ``rows`` that are not known yet in one call; each is cut off at its word-end id."""
+        if len(self) >= self.most:
+            self.clear()
+        words = set()
+        for piece in set().union(*rows):
+            if piece not in self:
+                word = found[1] if (found := self.marked.fullmatch(piece)) else piece
+                if len(word) <= 64 and self.plain.fullmatch(word):
+                    words.add(word.lower())
+        words = [w for w in words if w not in self]
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                data, size, start = ids.tobytes(), ids.itemsize, 0
+                for word, end in zip(words, (cuts * size).tolist()):
+                    self[word] = data[start:end]
+                    start = end
 
     def encode(self, piece: str) -> bytes:
         if not piece:
@@ -91,10 +113,14 @@ def write_tokens(
             if out is None:
                 out = system.open_output_stream(f"{base}/{part}.ids")
             lengths = np.empty(batch.num_rows, "<u8")
-            for i, value in enumerate(batch.column(1)):
-                row = b"".join(map(ids, cut(value.as_py()))) + end
-                lengths[i] = len(row) // len(end)
-                out.write(row)
+            for first in range(0, batch.num_rows, TEXTS):
+                rows = [cut(value.as_py()) for value in batch.column(1).slice(first, TEXTS)]
+                if known.splits:
+                    known.prepare(rows)
+                for i, row in enumerate(rows, first):
+                    row = b"".join(map(ids, row)) + end
+                    lengths[i] = len(row) // len(end)
+                    out.write(row)
             offsets.append(at + np.cumsum(lengths, dtype="<u8"))
             at = int(offsets[-1][-1]) if len(lengths) else at
             keys.append(batch.column(0).fill_null(NO_KEY).to_numpy(zero_copy_only=False).astype("<i8"))
