@@ -19,6 +19,8 @@ LENGTH, GRAM = 400, 64
 PLACES = LENGTH - GRAM + 1
 #: Bytes of text worked on at once; suffixes of a run; suffixes whose extents are found at once, at least a group.
 BLOCK, RUN, CHUNK = 1 << 20, 20_000, 20_000
+#: Anchors of one gram that a task merges; more are compared string by string in a plain aggregate.
+HOT = 100_000
 NO_KEY = -(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -79,6 +81,26 @@ def anchors(data: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[tuple
     return np.unique(of[needed]), spans
 
 
+def string_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the ``LENGTH`` bytes from each place on, put together from powers of two."""
+    n, out = len(data) - LENGTH + 1, []
+    for p, q in ((_P, _Q), (_Q, _P)):
+        h = (data.astype(np.uint64) + np.uint64(1)) * q
+        total, at, width = np.zeros(n, np.uint64), 0, 1
+        while width <= LENGTH:
+            if LENGTH & width:
+                total = (total * p + h[at:at + n]) * q
+                total ^= total >> np.uint64(31)
+                at += width
+            if 2 * width <= LENGTH:
+                h = h[:-width] * p + h[width:]
+                h ^= h >> np.uint64(31)
+                h *= q
+            width *= 2
+        out.append(total.view(np.int64))
+    return out[0], out[1]
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the covered bytes."""
     out: list[list[int]] = []
@@ -334,12 +356,37 @@ def merged_extents(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(merge, "row long, start long, end long")
 
 
+def counted_strings(texts: DataFrame) -> DataFrame:
+    """(row, start, end) of repeated strings around the anchors ``hot`` of (row, text, hot).
+
+    For grams so frequent that their anchors must not meet in one task: every string that holds such an anchor is named by a
+    128-bit hash, and the names are counted, partly in each task before they are exchanged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, places in zip(*(batch.column(i) for i in range(3))):
+                data = np.frombuffer(text.as_py().encode(), np.uint8)
+                near = np.concatenate([np.arange(max(0, a - PLACES + 1), min(a, len(data) - LENGTH) + 1) for a in places.as_py()])
+                near = np.unique(near)
+                first, second = string_hashes(data)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(near), row.as_py())), pa.array(near), pa.array(first[near]), pa.array(second[near])],
+                    ["row", "start", "s1", "s2"])
+
+    strings = texts.filter(F.size("hot") > 0).select("row", "text", "hot").mapInArrow(run, "row long, start long, s1 long, s2 long")
+    twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("c")).filter("c > 1").select("s1", "s2")
+    return strings.join(twice, ["s1", "s2"], "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(own).alias("h"), own.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT,
+) -> tuple[DataFrame, DataFrame]:
     """Where texts hold strings of ``LENGTH`` bytes that start anywhere else, too.
 
     Returns ``spans`` (row, key, h, n, sha, removed: flat array of starts and ends, maximal and in order; one row per document) and
@@ -350,6 +397,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     2. Anchors whose gram occurs once in the corpus cannot belong to a repeat and go; the gram counts are partial sums.
     3. The suffixes at the other anchors are sorted into runs, front-coded and exchanged by ranges of their first bytes; each
        range is merged by a loser tree that yields the common prefixes; where they are long enough, left contexts are compared, too.
+       Suffixes of a gram with more than ``hot`` anchors would meet in one task; their strings are counted instead.
     4. Each anchor's reach gives spans; spans of a document are united.
 
     Null text counts as empty. Texts shorter than ``LENGTH`` lose nothing. A document given twice is two documents that
@@ -362,20 +410,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     single = found.select("row", "key", "h", "anchors", "grams", "heads", "spans").join(classes.select("row"), "row", "left_semi")
     each = single.select("row", F.explode(F.arrays_zip("anchors", "grams", "heads")).alias("x")).select(
         "row", F.col("x.anchors").alias("place"), F.col("x.grams").alias("gram"), F.col("x.heads").alias("head"))
-    often = each.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
-    chosen = store(each.join(often, "gram", "left_semi").select("row", "place", "head"), "repeated")
-    places = chosen.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("anchors"))
+    often = each.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram", (F.col("c") > hot).alias("hot"))
+    chosen = store(each.join(often, "gram").select("row", "place", "head", "hot"), "repeated")
+    of = lambda kind: F.sort_array(F.collect_list(F.when(kind, F.col("place"))))
+    places = chosen.groupBy("row").agg(of(~F.col("hot")).alias("anchors"), of(F.col("hot")).alias("hot"))
     wanted = (
         single.select("row", "key", "h", "spans").join(places, "row", "left")
         .filter(F.col("anchors").isNotNull() | (F.size("spans") > 0))
     )
     texts = store(
         keyed.filter(F.octet_length("text") >= LENGTH).join(wanted, ["key", "h"])
-        .select("row", "text", "anchors", "spans").dropDuplicates(["row"]), "texts")
+        .select("row", "text", "anchors", "hot", "spans").dropDuplicates(["row"]), "texts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)]
     bounds = sorted(set((chosen.agg(F.percentile_approx("head", shares, 100 * parts)).first()[0] if shares else []) or []))
-    reach = merged_extents(sorted_runs(texts, bounds), parts)
+    reach = merged_extents(sorted_runs(texts, bounds), parts).unionByName(counted_strings(texts))
     pairs = reach.select("row", F.array("start", "end").alias("s")).unionByName(
         texts.select("row", F.explode("spans").alias("s")))
 

@@ -133,14 +133,15 @@ def test_repeats(result, edge_docs):
     assert got == want
 
 
-def test_repeats_of_random_pieces(spark):
-    """Texts made of shared pieces and periods, so that repeats overlap, nest and end inside each other."""
+@pytest.mark.parametrize("hot", [suffix_runs.HOT, 5, 0])
+def test_repeats_of_random_pieces(spark, hot):
+    """Texts made of shared pieces and periods, so that repeats overlap, nest and end inside each other; with frequent grams."""
     rng = random.Random(9)
     parts = ["".join(rng.choice("abcde ") for _ in range(rng.choice([150, 260, 410, 700]))) for _ in range(12)]
     parts += ["xy" * 300, "q" * 450, "abc" * 150]
     texts = ["".join(rng.choice(parts)[rng.randrange(3):] for _ in range(rng.randrange(1, 7))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans, _ = suffix_runs.repeated_spans(docs)
+    spans, _ = suffix_runs.repeated_spans(docs, hot=hot)
     got = {r["key"]: suffix_runs._rest(texts[r["key"]], r["removed"]) for r in spans.collect()}
     assert got == {i: k[0] for i, k in enumerate(brute.kept_bytes(texts))}
 
