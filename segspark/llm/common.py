@@ -16,12 +16,25 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB from here on, unless the session has settings of its own.
+
+    The defaults (10,000 rows, 64 MB) take several times that much beside the heap, once for every running task.
+    """
+    for name, default, own in (("Records", "10000", "1000"), ("Bytes", "67108864b", "4m")):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

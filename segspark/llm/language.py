@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segspark.llm.common import documents
+from segspark.llm.common import bounded_batches, documents
 
 #: Bytes of a window; embedding width; filter widths and filters of each; most documents per language, windows of
 #: each and languages that training takes; passes over them; step size.
@@ -142,6 +142,7 @@ def classify(df: DataFrame, network: ByteNetwork | None, text: str = "text") ->
     text without a letter get ``und`` and score 0, as does everything if nothing could be learned. A tie goes to
     the first label. Only the text is an input; no shuffle. Existing columns of these names are replaced.
     """
+    bounded_batches(df.sparkSession)
     kind = "struct<lang_pred: string, score: double>"
 
     @F.arrow_udf(kind)

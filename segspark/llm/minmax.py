@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm.common import BoundedDict, documents, store, worker_cache
+from segspark.llm.common import documents, store
 from segspark.llm.components import connected_components
 
 #: Words of a shingle; hash functions, each giving a minimum and a maximum; values of a band; link at this many percent.
@@ -36,7 +36,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """
     import xxhash
 
-    word = worker_cache("word hashes", lambda: BoundedDict(xxhash.xxh3_64_intdigest, 300_000)).__getitem__
+    word = xxhash.xxh3_64_intdigest
     words = [t.lower().split() if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter((word(w) for ws in words for w in ws), np.uint64, int(n.sum()))
