@@ -28,8 +28,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays; of rows with one doc_id, one."""
-    kept = store(minmax.near_duplicates(docs).filter("kept").select(F.col("key").alias("_key")).distinct(), "kept")
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi").dropDuplicates(["doc_id"])
+    # A key without null on both sides: join and removal of repeated rows share one shuffle of the texts.
+    plain = lambda c: F.coalesce(F.col(c), F.lit(minmax.NO_KEY)).alias("_key")
+    kept = store(minmax.near_duplicates(docs).filter("kept").select(plain("key")).distinct(), "kept")
+    return docs.select(*COLUMNS, plain("doc_id")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
