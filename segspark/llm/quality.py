@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import documents, let, store, word_array
 
-#: Buckets of hashed 1- and 2-grams; most trusted documents the target is counted on.
-BUCKETS, TRUSTED = 10_000, 20_000
+#: Buckets of hashed 1- and 2-grams.
+BUCKETS = 10_000
 
 
 def _repeated(words: Column) -> Column:
@@ -70,10 +70,10 @@ def _counts(docs: DataFrame, text: str, buckets: int, name: str) -> DataFrame:
     return docs.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
-def some_trusted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
-    """The documents of at most ``most`` trusted keys, those with the least hash: a bounded list, broadcast."""
-    chosen = trusted.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    return docs.join(F.broadcast(chosen), key, "left_semi")
+def all_trusted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents of all trusted keys; a null key is never trusted. One plan at every size: both sides are shuffled."""
+    keys = trusted.select(key).filter(F.col(key).isNotNull()).distinct()
+    return docs.join(keys.hint("merge"), key, "left_semi")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -99,31 +99,36 @@ def _scored(docs: DataFrame, ratios: DataFrame, text: str, buckets: int) -> Data
 
 def quality_filter(
     docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
-    most: int = TRUSTED, least: float | None = None,
+    least: float | None = None, with_text: bool = True,
 ) -> DataFrame:
     """Adds the base counts, ``score`` (mean log ratio of the document's n-grams) and ``kept``.
 
     ``trusted``: a column of keys. A document is kept if the base rules pass and its score is at least
     ``least``; no randomness. If not given, ``least`` lies as far below the lowest thousandth of the trusted
-    documents' scores as that lies below their median, so it adapts to how sharp the counts are.
+    documents' scores (to four decimals) as that lies below their median, so it adapts to how sharp the counts are. Target and
+    threshold come from every trusted document; the rows are then written with their scores, without the text
+    unless ``with_text``.
     A document without words has score 0 and fails the base rules. Without trusted documents there is no
     target: every score is 0 and the base rules decide. Repeated rows are scored each; the table of ratios
     has ``buckets`` numbers and comes as one value.
     """
-    chosen = some_trusted(docs, trusted, key, most)
-    ratios = store(log_ratios(docs, chosen, text, buckets), "ratios")
+    ratios = store(log_ratios(docs, all_trusted(docs, trusted, key), text, buckets), "ratios")
+    scored = _scored(docs, ratios, text, buckets)
+    scored = scored if with_text else scored.drop(text)
     if least is None:
-        passing = F.when(~F.col("base_failed"), F.col("score"))
-        low, mid = _scored(chosen, ratios, text, buckets).agg(
-            F.percentile(passing, F.lit(0.001)), F.percentile(passing, F.lit(0.5))).first()
+        scored = store(scored, "scores")
+        passing = all_trusted(scored.filter(~F.col("base_failed")).select(key, "score"), trusted, key)
+        # A histogram, whose length depends on the range of the scores alone.
+        bins = passing.groupBy(F.round("score", 4).alias("score")).agg(F.count("*").alias("n"))
+        low, mid = bins.agg(*[F.percentile("score", F.lit(p), F.col("n")) for p in (0.001, 0.5)]).first()
         least = 2 * low - mid if low is not None else float("-inf")
-    return _scored(docs, ratios, text, buckets).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    return quality_filter(docs, trusted).select(
+    return quality_filter(docs, trusted, with_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("score", 6).alias("score"))
 

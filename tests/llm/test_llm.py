@@ -280,6 +280,20 @@ def test_quality_against_labels(spark):
     assert scored[scored["quality"] == 0]["kept"].mean() < 0.35
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """More trusted documents than any sample held: target and threshold come from all of them."""
+    from segspark.llm import quality
+
+    words = [f"concat('{c}', doc_id % {m})" for c, m in zip("abcdefghijkl", range(3, 15))]
+    docs = spark.range(20_500).selectExpr("id AS doc_id", f"concat_ws(' ', {', '.join(words)}) AS text")
+    assert {r["score"] for r in quality.quality_filter(docs, docs.select("doc_id")).select("score").collect()} == {0.0}
+    got = quality.quality_filter(docs, docs.filter("doc_id % 41 > 0").select("doc_id")).toPandas()
+    trusted = got[(got["doc_id"] % 41 > 0) & ~got["base_failed"]]["score"].round(4)
+    least = 2 * np.percentile(trusted, 0.1) - np.percentile(trusted, 50)
+    clear = (got["score"] - least).abs() > 2e-4
+    assert len(trusted) == 20_000 and (got["kept"] == (~got["base_failed"] & (got["score"] >= least)))[clear].all()
+
+
 def test_pipeline(spark, edge_dir, empty_dir, edge_docs, library):
     import corpus_pipeline as pipeline
 
