@@ -27,11 +27,15 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of rows with one doc_id, one."""
+    """Of each group of linked documents one with the least doc_id stays; of rows with one doc_id and text, one."""
     # A key without null on both sides: join and removal of repeated rows share one shuffle of the texts.
-    plain = lambda c: F.coalesce(F.col(c), F.lit(minmax.NO_KEY)).alias("_key")
-    kept = store(minmax.near_duplicates(docs).filter("kept").select(plain("key")).distinct(), "kept")
-    return docs.select(*COLUMNS, plain("doc_id")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    kept = minmax.linked_documents(docs).filter((F.col("key") == F.col("least_key")) & (F.col("h") == F.col("least_h")))
+    kept = store(kept.select(F.col("key").alias("_key"), F.col("h").alias("_h")).distinct(), "kept")
+    plain = F.coalesce(F.col("doc_id"), F.lit(minmax.NO_KEY)).alias("_key")
+    rows = docs.select(*COLUMNS, plain, minmax.text_hash("text").alias("_h")).join(kept, ["_key", "_h"], "left_semi")
+    # Least by the other columns, so that the same row stays in every run.
+    one = rows.groupBy("_key", "_h").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_row"))
+    return one.select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.llm.common import documents, store
@@ -84,12 +84,17 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
 
 
+def text_hash(text: str) -> Column:
+    """With the key, what tells a document from others; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per document: key, n (set size), h1 and h2 (a 128-bit name of the set), bands, sketch."""
+    """One row per document: key, h (hash of the text), n (set size), h1 and h2 (a 128-bit name of the set), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = batch.column(0).fill_null(NO_KEY).to_numpy(), batch.column(1)
+            keys, values, hashes = batch.column(0).fill_null(NO_KEY).to_numpy(), batch.column(1), batch.column(2)
             at = 0
             while at < len(values):
                 end, size = at, 0
@@ -109,12 +114,12 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names[1, full] = np.add.reduceat(_mix(flat * _P), starts)
                 names = names.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[at:end]), pa.array(n), pa.array(names[0]), pa.array(names[1]), _lists(bands),
-                    pa.array([s.tobytes() for s in sketch], pa.binary())], ["key", "n", "h1", "h2", "bands", "sketch"])
+                    pa.array(keys[at:end]), hashes.slice(at, end - at), pa.array(n), pa.array(names[0]), pa.array(names[1]), _lists(bands),
+                    pa.array([s.tobytes() for s in sketch], pa.binary())], ["key", "h", "n", "h1", "h2", "bands", "sketch"])
                 at = end
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(
-        run, "key long, n long, h1 long, h2 long, bands array<bigint>, sketch binary")
+    return docs.select(F.col(key).cast("long"), text, text_hash(text)).mapInArrow(
+        run, "key long, h long, n long, h1 long, h2 long, bands array<bigint>, sketch binary")
 
 
 def _spread(rows: DataFrame, group: str) -> DataFrame:
@@ -217,33 +222,36 @@ def _similar(sets: pa.Array) -> np.ndarray:
     return 100 * common >= PERCENT * (n[:, None] + n[None] - common)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept): components of documents linked by a Jaccard similarity of ``PERCENT`` %.
+def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, h, n, least_key, least_h) of each row; the least document of a component is named by key and text hash.
 
     1. Each text becomes its shingle set, min-max signature, bands and a 128-bit name of the set. Equal sets are one class.
+       All of the steps below know classes by a number of their own, so rows that share a key are never taken for each other.
     2. One document of each class is put into a bucket per band. Within a bucket, members whose signatures agree often enough
        are joined into clusters; only a spanning star leaves the task, never all pairs.
     3. Within a cluster every pair is tested on the full sets, rebuilt from the texts; again stars leave the task.
        Buckets and clusters of any size are cut into blocks that are compared block with block.
-    4. Components of the true links, given back to all members of the classes.
+    4. Components of the true links, named by their least document and given back to all members of the classes.
 
-    No partner or candidate is capped. A link is missed only if all 32 bands differ (chance 6e-11 at the threshold) or the
-    signature is six deviations off. Null or empty text: n 0, linked with nothing, kept. A null key is one more
-    key, below all others, and has null ``component_id`` if it is the least. Rows of one key count as one document.
+    A null key is ``NO_KEY``, below all others.
     """
     found = store(describe(docs, key, text), "shingles")
     some = found.filter("n > 0")
-    classes = store(some.groupBy("h1", "h2", "n").agg(F.min("key").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("key"), "h1", "h2").distinct()
-    members = some.join(reps, ["key", "h1", "h2"], "left_semi").dropDuplicates(["key", "h1", "h2"])
+    # Numbered as they are written, so the numbers are fixed from here on.
+    classes = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "h")).alias("_d")).select("h1", "h2", "n", "_d.key", "_d.h")
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = some.join(classes, ["key", "h", "h1", "h2", "n"]).select(
+        F.col("id").alias("key"), "bands", "sketch").dropDuplicates(["key"])
     buckets = members.select("key", F.explode("bands").alias("bucket"))
     rows = _spread(buckets, "bucket").select("_g", "key").join(members.select("key", "sketch"), "key").select("_g", "key", "sketch")
     candidates = (
         rows.repartition("_g").sortWithinPartitions("_g").mapInArrow(_grouped(_alike), "a long, b long")
     )
     clusters = connected_components(candidates)
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text")).join(
-        clusters.withColumnRenamed("node", "key"), "key")
+    wanted = classes.join(clusters, F.col("id") == F.col("node")).select("key", "h", "id", "component")
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), text_hash(text).alias("h"), F.col(text).alias("text"))
+    # Rows of one key and text are one document.
+    texts = texts.join(wanted, ["key", "h"]).dropDuplicates(["key", "h"]).select(F.col("id").alias("key"), "component", "text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,21 +262,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["key", "component", "shingles"])
 
-    sets = texts.select("key", "component", "text").mapInArrow(rebuild, "key long, component long, shingles array<bigint>")
+    sets = texts.mapInArrow(rebuild, "key long, component long, shingles array<bigint>")
     # The blocks of a cluster are planned on the keys alone.
     work = _spread(clusters.select(F.col("node").alias("key"), "component"), "component").select("key", "_g")
     links = (
         sets.select("key", "shingles").join(work, "key").select("_g", "key", "shingles")
         .repartition("_g").sortWithinPartitions("_g").mapInArrow(_grouped(_similar), "a long, b long")
     )
-    linked = connected_components(links)
-    named = found.join(classes, ["h1", "h2", "n"], "left").join(
-        linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    linked = classes.join(connected_components(links).withColumnRenamed("node", "id"), "id")
+    least = linked.groupBy("component").agg(F.min(F.struct("key", "h")).alias("_least"))
+    least = linked.select("id", "component").join(least, "component").select("id", "_least")
+    named = classes.join(least, "id", "left").select(
+        "h1", "h2", "n", F.coalesce("_least", F.struct("key", "h")).alias("_least"))
+    own = F.coalesce("_least", F.struct("key", "h"))
+    return found.join(named, ["h1", "h2", "n"], "left").select(
+        "key", "h", "n", own["key"].alias("least_key"), own["h"].alias("least_h"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept): components of documents linked by a Jaccard similarity of ``PERCENT`` %.
+
+    No partner or candidate is capped. A link is missed only if all 32 bands differ (chance 6e-11 at the threshold) or the
+    signature is six deviations off. Null or empty text: n 0, linked with nothing, kept. ``component_id`` is the least key of
+    the component; a null key is below all others. Rows of one key and one text count as one document; rows that share a key,
+    or have none, and differ in text are documents of their own, of which the one with the least text hash is kept
+    where they are linked. Components whose least keys are equal show the same ``component_id``.
+    """
     shown = lambda c: F.nullif(c, F.lit(NO_KEY))
-    component = F.coalesce("component", "rep", "key")
-    return named.select(
-        shown(F.col("key")).alias("key"), F.col("n").alias("n_shingles"), shown(component).alias("component_id"),
-        (F.col("key") == component).alias("kept"))
+    return linked_documents(docs, key, text).select(
+        shown(F.col("key")).alias("key"), F.col("n").alias("n_shingles"), shown(F.col("least_key")).alias("component_id"),
+        ((F.col("key") == F.col("least_key")) & (F.col("h") == F.col("least_h"))).alias("kept"))
 
 
 def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,18 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {k: c for (k, _), (_, c) in zip(rows, brute.components(rows))}
 
 
+def test_near_duplicates_of_shared_keys(spark):
+    """Rows without a key, or with one repeated key, and different texts are documents of their own."""
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("a") + " end"), (5, text("a").upper()),
+            (9, text("b")), (7, text("d")), (7, text("e")), (8, text("e"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter({(None, "a0"): 1, (None, "b0"): 1, (None, "c0"): 1, (7, "d0"): 1, (7, "e0"): 1})
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(1000 + i, 1000) for i in range(50)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(60)]
