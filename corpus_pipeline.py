@@ -55,12 +55,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes; a document that is taken in part ends after those words."""
-    taken = mixing.mix(mixing.sized(docs)).filter("taken > 0")
-    # Rows of one doc_id, source and size are taken together.
-    taken = store(taken.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")), "taken")
-    sized = docs.select(*COLUMNS, F.size(word_array(F.col("text"))).cast("long").alias("_size"))
-    rows = sized.join(taken.toDF("_id", "_src", "_n", "_taken"), (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_n"))))
+    # Rows that differ in nothing but their words are told apart by a hash of the text; equal rows share what they take.
+    same = ["doc_id", "source", "size", "_h"]
+    sized = docs.select(*COLUMNS, F.size(word_array(F.col("text"))).cast("long").alias("_size"), F.xxhash64("text").alias("_h"))
+    narrow = sized.select("doc_id", "source", F.col("_size").alias("size"), "_h")
+    taken = mixing.mix(narrow, row="_h").filter("taken > 0").groupBy(*same).agg(F.sum("taken").alias("taken"))
+    # With the number of equal rows: what is taken of them goes to one of them.
+    taken = store(taken.join(narrow.groupBy(*same).agg(F.count("*").alias("n")).toDF("_i", "_s", "_z", "_t", "n"), (
+        F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))
+        & (F.col("size") == F.col("_z")) & (F.col("_h") == F.col("_t")))).select(*same, "taken", "n"), "taken")
+    rows = sized.join(taken.toDF("_id", "_src", "_n", "_t", "_taken", "_rows"), (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
+        & (F.col("_size") == F.col("_n")) & (F.col("_h") == F.col("_t"))))
+    one = rows.filter("_rows > 1").dropDuplicates(["_id", "_src", "_n", "_t"])
+    rows = rows.filter("_rows = 1").unionByName(one)
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
     rows = rows.withColumn("_copy", F.explode(copies)).withColumn("_words", words.cast("int"))

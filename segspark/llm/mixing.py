@@ -49,9 +49,9 @@ def source_targets(
 
 def mix(
     df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = "mix",
-    weights: Sequence[float] = WEIGHTS, share: float = SHARE, copies: int = COPIES,
+    weights: Sequence[float] = WEIGHTS, share: float = SHARE, copies: int = COPIES, row: str | None = None,
 ) -> DataFrame:
-    """Words that the mix takes of each row: key, size, source, source_size, target, ``taken``.
+    """Words that the mix takes of each row: key, size, source, source_size, target, ``taken`` and, where given, ``row``.
 
     ``df``: one narrow row per document. Documents of a source queue in an order given by a hash of
     (seed, key), its second copy after its first. A document's virtual finish time is the words of its
@@ -61,10 +61,12 @@ def mix(
 
     A null source is a source of its own and comes last; null keys and repeated rows are separate documents;
     a document without words takes none; no rows give no rows. The same rows give the same mix in any order.
+    ``row``: a column (long, not null) that tells rows of one key and size apart; it orders them and is given back.
     """
     # `_row` tells equal rows apart, so that no order below has ties that matter.
     narrow = store(
-        df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size")), "sizes"
+        df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size"),
+                  *([F.col(row).alias("_own")] if row else [])), "sizes"
     )
     targets = store(source_targets(narrow, "_source", "_size", weights, share, copies), "targets")
     rows = (
@@ -75,7 +77,7 @@ def mix(
         .withColumn("_turn", F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("_key").cast("string"), F.lit("")))))
     )
     queued = store(
-        running_total(rows, "source_no", ["_turn", "_key", "_size"], "_size", "_start")
+        running_total(rows, "source_no", ["_turn", "_key", "_size", *(["_own"] if row else [])], "_size", "_start")
         .withColumn("_row", F.monotonically_increasing_id()), "queue")
     limit = F.floor("target").cast("long")
     pieces = (
@@ -100,7 +102,8 @@ def mix(
     )
     return queued.join(taken, "_row", "left").select(
         F.col("_key").alias(key), F.col("_size").alias(size), F.col("_source").alias(source), "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_start")
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_start",
+        *([F.col("_own").alias(row)] if row else []))
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -233,6 +233,20 @@ def test_mix_targets(spark):
     assert got == pytest.approx({"a": 200.0, None: 1000.0, "c": 20.0, "b": 1195.0})
 
 
+def test_mixed_rows_of_one_key_and_size(spark):
+    """Rows of one key, source and size are taken each for itself, so the mix emits no more than its targets."""
+    import corpus_pipeline
+
+    rows = [(None, f"one two three w{i % 6}", "en", "c") for i in range(8)] + [(1, "x " * 40, "en", "a"), (2, "y " * 30, "en", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = mixing.sized(docs)
+    want = {r["_source"]: int(r["target"]) for r in mixing.source_targets(sizes).collect()}
+    got = Counter()
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[k] - n) <= 1 for k, n in want.items()) and set(got) == set(want)
+
+
 def test_licences(spark):
     s = licences.SENTENCES
     texts = [
