@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from segspark.llm.common import bounded_batches, documents
 
 #: Bytes of a window; embedding width; filter widths and filters of each; most documents per language, windows of
-#: each and languages that training takes; passes over them; step size.
+#: each that training takes; passes over them; step size.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
-PER_LANGUAGE, SPOTS, LANGUAGES, EPOCHS, STEP, SEED = 200, 3, 64, 12, 4e-3, 7
+PER_LANGUAGE, SPOTS, EPOCHS, STEP, SEED = 200, 3, 12, 4e-3, 7
 #: Windows that are classified at once.
 BATCH = 256
 UNKNOWN = "und"
@@ -102,19 +102,17 @@ def windows(data: bytes) -> np.ndarray:
 
 def training_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-    per_language: int = PER_LANGUAGE, languages: int = LANGUAGES,
+    per_language: int = PER_LANGUAGE,
 ) -> DataFrame:
-    """A bounded sample of labelled documents: ``per_language`` of each of the ``languages`` most frequent labels.
+    """A bounded sample of labelled documents: ``per_language`` of each label.
 
     Chosen on key, label and length alone, by hash; texts are fetched only for the chosen keys, at most
-    ``per_language * languages``, and cut to the bytes that training looks at.
+    ``per_language`` times the number of labels, and cut to the bytes that training looks at.
     """
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, label)
-    common = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(languages).select(label)
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
     chosen = (
-        known.join(F.broadcast(common), label, "left_semi").withColumn("_place", place)
-        .filter(F.col("_place") <= per_language).select(key).distinct()
+        known.withColumn("_place", place).filter(F.col("_place") <= per_language).select(key).distinct()
     )
     # Several spots of a long text, so that a foreign head or tail counts for little.
     raw = F.encode(text, "UTF-8")

@@ -272,6 +272,11 @@ def test_language(spark, result, edge_docs):
         assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, text or "")))
 
 
+def test_every_language_is_learned(spark):
+    docs = spark.range(140).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 70) AS lang")
+    assert len({r["lang"] for r in language.training_documents(docs).select("lang").collect()}) == 70
+
+
 def test_gradients():
     net = language.ByteNetwork(["a", "b"], seed=1)
     rng = np.random.default_rng(0)
