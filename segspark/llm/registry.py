@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language", "digest", "minmax", "suffix_runs", "variants"]
+MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language", "digest", "minmax", "suffix_runs", "variants", "conversations"]
 
 
 def load() -> tuple[dict, dict]:
