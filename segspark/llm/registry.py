@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language", "digest", "minmax", "suffix_runs", "variants", "conversations"]
+MODULES = ["shards", "mixing", "licences", "quality", "token_files", "bpe", "language", "digest", "minmax", "suffix_runs", "variants", "conversations",
+           "html_text"]
 
 
 def load() -> tuple[dict, dict]:
