@@ -25,7 +25,38 @@ def edge_rows():
     return rows + [(100 + i, " ".join(base[:100] + [f"copy{i}"]), "en", "hot") for i in range(30)]
 
 
-def write_tables(folder, rows, labels):
+def edge_turns():
+    """(conv_id, turn, role, text): nulls, unknown roles, repeated rows, equal turns, a long conversation."""
+    rows = [(None, 1, "user", "No key."), (None, None, "user", None), (None, 2, None, "x"), (1, None, "assistant", "Late."), (1, 3, "user", "Late"),
+            (1, 3, "user", "Late"), (1, 3, "assistant", "Tie."), (2, 1, "tool", "Run."), (2, 2, "", "Empty role!"), (2, 9, "user", " \t "), (3, 5, "system", "Only."),
+            (4, 2**40, "user", "Far?"), (4, -7, "user", "Near?"), (5, 1, "user", "a." * 30000), (5, 2, "assistant", "é ñ 漢.")]
+    rows += [(6, i, ["user", "assistant", "user", "system"][i * i % 4], f"turn {i % 90}" + [".", "!", "", "?"][i % 4]) for i in range(700)]
+    return rows + [(7 + i, t, r, f"{t} {r}.") for i in range(60) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"][i % 2:])]
+
+
+def edge_pages():
+    """(page_id, url, html) and what is left of it (None: not judged)."""
+    text = "Words of the story, told in one line after another, with marks. It goes on for a while, and then it ends here."
+    body = f"<h1>Title &amp; more</h1><p>{text}<p>A <b>bold</b>&#x6e;ess,\n two&nbsp;spaces.<br>Next line.</p>"
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">item {i}</a>' for i in range(6)) + "</ul></nav>"
+    want = f"Title & more {text} A boldness, two spaces. Next line."
+    page = f"<html><head><title>T</title><style>p{{}}</style><script>var a='</p><p>no</p>'</script></head><body>{menu}<article>{body}</article><footer>&copy; someone</footer>"
+    return [
+        (1, "u", None, ""), (2, None, "", ""), (3, "u", page + "</body></html>", want), (4, "u", page, want), (4, "u", page, want), (None, "u", page, want),
+        (5, "u", page.replace("article>", "ARTICLE>") + "<!-- never closed <p>no</p>", want), (6, "u", page + "<p unfinished", want),
+        (7, "u", "<" * 3000 + "a < b && c > d" + "<b" * 2000, None), (8, "u", "<div>" * 3000 + text, None), (9, "u", "no tag at all", None),
+        (10, "u", page.replace(text, text * 500), want.replace(text, text * 500))]
+
+
+def write_tables(folder, rows, labels, turns=(), pages=()):
+    column = lambda table, i, kind: pa.array([r[i] for r in table], kind)
+    extra = lambda table, *names: {n: pa.array([f"{n}!"] * len(table), pa.string()) for n in names}
+    pq.write_table(pa.table({
+        "conv_id": column(turns, 0, pa.int64()), "turn": column(turns, 1, pa.int64()), "role": column(turns, 2, pa.string()), "text": column(turns, 3, pa.string()),
+        **extra(turns, "mark", "block", "audit", "cost", "_h")}), f"{folder}/conversations.parquet")
+    pq.write_table(pa.table({
+        "page_id": column(pages, 0, pa.int64()), "url": column(pages, 1, pa.string()), "html": column(pages, 2, pa.string()),
+        **extra(pages, "text", "h", "n_chars")}), f"{folder}/pages.parquet")
     ids, texts, langs, sources = zip(*rows) if rows else ((), (), (), ())
     names = ["key", "h", "row", "size", "score", "ids", "shard", "_words", "taken", "component", "lang_pred"]
     pq.write_table(pa.table({
@@ -41,7 +72,7 @@ def write_tables(folder, rows, labels):
 
 @pytest.fixture(scope="session")
 def edge_dir(tmp_path_factory):
-    return write_tables(tmp_path_factory.mktemp("edge"), edge_rows(), [(8, 1), (11, 1), (14, 1), (7, 0), (None, 1)])
+    return write_tables(tmp_path_factory.mktemp("edge"), edge_rows(), [(8, 1), (11, 1), (14, 1), (7, 0), (None, 1)], edge_turns(), edge_pages())
 
 
 @pytest.fixture(scope="session")

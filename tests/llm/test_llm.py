@@ -31,7 +31,7 @@ def library():
 def test_check_sql(spark, edge_dir, name, place):
     folder = edge_dir if place == "edge" else SF
     con = sqlcheck.duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     sqlcheck.compare(registry.load()[0][name](spark, folder), con, registry.load()[1][name])
 
