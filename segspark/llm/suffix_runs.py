@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from bisect import bisect_right
+import zlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +16,10 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import documents, store
 
-#: Bytes of a string that counts as repeated; bytes of an anchor; so a string has this many places for an anchor.
+#: Bytes of a string that counts as repeated, unless said otherwise (at least ``GRAM``); bytes of an anchor.
 LENGTH, GRAM = 400, 64
-PLACES = LENGTH - GRAM + 1
-#: Bytes of text worked on at once; suffixes of a run; suffixes whose extents are found at once, at least a group.
-BLOCK, RUN, CHUNK = 1 << 20, 20_000, 20_000
+#: Bytes of text worked on at once; suffixes of a run; suffixes whose extents are found at once, at least a group; suffixes of a range.
+BLOCK, RUN, CHUNK, RANGE = 1 << 20, 20_000, 20_000, 20_000
 #: Anchors of one gram that a task merges; more are compared string by string in a plain aggregate.
 HOT = 100_000
 NO_KEY = -(1 << 63)
@@ -39,28 +40,29 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Anchors of one text (at least ``LENGTH`` bytes), and spans of it that repeat within a period.
+def anchors(data: np.ndarray, grams: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Anchors of one text (at least ``length`` bytes), and spans of it that repeat within a period.
 
-    The anchor of a string of ``LENGTH`` bytes is the place of its least gram (the leftmost on a tie), so equal strings
+    The anchor of a string of ``length`` bytes is the place of its least gram (the leftmost on a tie), so equal strings
     have their anchors at equal places. A string that equals the one a period before it needs no anchor: the first of the
     series has one. Such series are returned as spans; without that rule a run of one letter would have an anchor at
     every byte.
     """
+    spots = length - GRAM + 1
     n = len(data)
     bits = np.uint64(max(1, int(n).bit_length()))
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     width = 1
-    while 2 * width <= PLACES:
+    while 2 * width <= spots:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
-    if width < PLACES:
-        key = np.minimum(key[:len(key) - (PLACES - width)], key[PLACES - width:])
+    if width < spots:
+        key = np.minimum(key[:len(key) - (spots - width)], key[spots - width:])
     of = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.concatenate([[True], of[1:] != of[:-1]])
     at = of[new]
     again = np.flatnonzero(grams[at[1:]] == grams[at[:-1]]) + 1
-    again = again[(at[again] - at[again - 1]) < PLACES]
+    again = again[(at[again] - at[again - 1]) < spots]
     if not len(again):
         return at, []
     starts = np.append(np.flatnonzero(new), len(of))
@@ -72,27 +74,27 @@ def anchors(data: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, list[tuple
         first = max(first, d)
         if first >= last:
             continue
-        same = np.concatenate([[0], np.cumsum(data[first:last - 1 + LENGTH] == data[first - d:last - 1 + LENGTH - d])])
-        whole = same[LENGTH:] - same[:-LENGTH] == LENGTH
+        same = np.concatenate([[0], np.cumsum(data[first:last - 1 + length] == data[first - d:last - 1 + length - d])])
+        whole = same[length:] - same[:-length] == length
         places = np.flatnonzero(whole) + first
         needed[places] = False
         for run in np.split(places, np.flatnonzero(np.diff(places) != 1) + 1) if len(places) else []:
-            spans.append((int(run[0]) - d, int(run[-1]) + LENGTH))
+            spans.append((int(run[0]) - d, int(run[-1]) + length))
     return np.unique(of[needed]), spans
 
 
-def string_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the ``LENGTH`` bytes from each place on, put together from powers of two."""
-    n, out = len(data) - LENGTH + 1, []
+def string_hashes(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the ``length`` bytes from each place on, put together from powers of two."""
+    n, out = len(data) - length + 1, []
     for p, q in ((_P, _Q), (_Q, _P)):
         h = (data.astype(np.uint64) + np.uint64(1)) * q
         total, at, width = np.zeros(n, np.uint64), 0, 1
-        while width <= LENGTH:
-            if LENGTH & width:
+        while width <= length:
+            if length & width:
                 total = (total * p + h[at:at + n]) * q
                 total ^= total >> np.uint64(31)
                 at += width
-            if 2 * width <= LENGTH:
+            if 2 * width <= length:
                 h = h[:-width] * p + h[width:]
                 h ^= h >> np.uint64(31)
                 h *= q
@@ -183,42 +185,43 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def extents(shared: np.ndarray, group: np.ndarray, rights: np.ndarray, lefts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def extents(shared: np.ndarray, group: np.ndarray, rights: np.ndarray, lefts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """How far repeated strings around each anchor reach to its left and right (-1: there is none).
 
     Anchors stand in the order of their right contexts, ``shared`` is the common prefix with the one before (0 at the start of a
     group), ``rights`` the lengths of the right contexts, ``lefts`` the left contexts read leftwards. The string that starts o
-    bytes before an anchor is repeated if another anchor has the same o bytes to the left and the same ``LENGTH`` - o to
+    bytes before an anchor is repeated if another anchor has the same o bytes to the left and the same ``length`` - o to
     the right: classes of both are runs of the two sorted orders, cut where the common prefix is shorter.
     """
+    places = length - GRAM + 1
     n = len(lefts)
     size = np.array([len(x) for x in lefts])
     order = np.array(sorted(range(n), key=lambda i: (group[i], lefts[i])))
-    cells = np.frombuffer(b"".join(lefts[i].ljust(PLACES - 1, b"\0") for i in order), np.uint8).reshape(n, PLACES - 1)
+    cells = np.frombuffer(b"".join(lefts[i].ljust(places - 1, b"\0") for i in order), np.uint8).reshape(n, places - 1)
     left = np.zeros(n, np.int64)
     for s in range(1, n, 4096):
         differ = cells[s:s + 4096] != cells[s - 1:s - 1 + len(cells[s:s + 4096])]
-        left[s:s + 4096] = np.where(differ.any(1), differ.argmax(1), PLACES - 1)
+        left[s:s + 4096] = np.where(differ.any(1), differ.argmax(1), places - 1)
     left[1:] = np.minimum(left[1:], np.minimum(size[order[1:]], size[order[:-1]]))
     fresh = np.concatenate([[True], group[order[1:]] != group[order[:-1]]])
-    most, least = np.full(n, -1), np.full(n, LENGTH)
+    most, least = np.full(n, -1), np.full(n, length)
     by_left = np.empty(n, np.int64)
-    for o in range(PLACES):
+    for o in range(places):
         by_left[order] = np.cumsum(fresh | (left < o))
-        at = np.flatnonzero((size >= o) & (rights >= LENGTH - o))
+        at = np.flatnonzero((size >= o) & (rights >= length - o))
         if len(at) < 2:
             continue
-        both = (np.cumsum(shared < LENGTH - o) * (n + 1) + by_left)[at]
+        both = (np.cumsum(shared < length - o) * (n + 1) + by_left)[at]
         sort = np.argsort(both, kind="stable")
         both = both[sort]
         equal = both[1:] == both[:-1]
         twice = at[sort[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])]]
         most[twice] = o
         least[twice] = np.minimum(least[twice], o)
-    return most, np.where(most >= 0, LENGTH - least, -1)
+    return most, np.where(most >= 0, length - least, -1)
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, key, h, n, sha, ends_at, anchors, grams, heads, spans) of (key, h, text); ``row`` is unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +245,8 @@ def describe(docs: DataFrame) -> DataFrame:
                 rows, begin = [], 0
                 for text in raw:
                     own, spans = np.empty(0, np.int64), []
-                    if len(text) >= LENGTH:
-                        own, spans = anchors(data[begin:begin + len(text)], hashes[begin:begin + len(text) - GRAM + 1])
+                    if len(text) >= length:
+                        own, spans = anchors(data[begin:begin + len(text)], hashes[begin:begin + len(text) - GRAM + 1], length)
                     rows.append((own, hashes[begin + own].view(np.int64), head[begin + own] if len(own) else own, spans))
                     begin += len(text)
                 part = batch.slice(first, len(raw))
@@ -265,8 +268,17 @@ _RUNS = ("part int, run string, rows array<bigint>, places array<bigint>, shared
          "left_ends array<bigint>, lefts binary")
 
 
-def sorted_runs(texts: DataFrame, bounds: list[int]) -> DataFrame:
-    """Front-coded sorted runs of the suffixes at the anchors of (row, text, anchors), cut at ``bounds`` of their first bytes."""
+def sorted_runs(texts: DataFrame, bounds: list[int], length: int = LENGTH) -> DataFrame:
+    """Front-coded sorted runs of the suffixes at the anchors of (row, text, anchors), cut at ``bounds`` of their first bytes.
+
+    First bytes so frequent that they are several bounds are spread over as many parts by the gram, as only suffixes of one gram need to meet.
+    """
+    span = length - GRAM + 1
+
+    def part_of(suffix: bytes) -> int:
+        head = int.from_bytes(suffix[:7])
+        low, high = bisect_left(bounds, head), bisect_right(bounds, head)
+        return low + 1 + zlib.crc32(suffix[:GRAM]) % (high - low) if high > low else high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def piece(part: int, name: str, own: list[tuple[bytes, bytes, int, int]]) -> tuple:
@@ -277,13 +289,10 @@ def sorted_runs(texts: DataFrame, bounds: list[int]) -> DataFrame:
 
         def flush(entries: list[tuple[bytes, bytes, int, int]]) -> pa.RecordBatch:
             entries.sort()
-            name, pieces, s = uuid.uuid4().hex, [], 0
-            heads = [int.from_bytes(x[0][:7]) for x in entries]
-            while s < len(entries):
-                part = bisect_right(bounds, heads[s])
-                e = bisect_right(heads, bounds[part] - 1, s) if part < len(bounds) else len(entries)
-                pieces.append(piece(part, name, entries[s:e]))
-                s = e
+            name, own = uuid.uuid4().hex, defaultdict(list)
+            for entry in entries:
+                own[part_of(entry[0])].append(entry)
+            pieces = [piece(part, name, some) for part, some in own.items()]
             kinds = [pa.int32(), pa.string(), *[pa.list_(pa.int64())] * 4, pa.binary(), pa.list_(pa.int64()), pa.binary()]
             names = [c.split()[0] for c in _RUNS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pieces], kind) for i, kind in enumerate(kinds)], names)
@@ -295,7 +304,7 @@ def sorted_runs(texts: DataFrame, bounds: list[int]) -> DataFrame:
                     continue
                 row, data = row.as_py(), text.as_py().encode()
                 for a in places.as_py():
-                    entries.append((data[a:a + LENGTH], data[max(0, a - PLACES + 1):a][::-1], row, a))
+                    entries.append((data[a:a + length], data[max(0, a - span + 1):a][::-1], row, a))
                     if len(entries) >= RUN:
                         yield flush(entries)
                         entries = []
@@ -305,13 +314,13 @@ def sorted_runs(texts: DataFrame, bounds: list[int]) -> DataFrame:
     return texts.select("row", "text", "anchors").mapInArrow(run, _RUNS)
 
 
-def merged_extents(runs: DataFrame, parts: int) -> DataFrame:
+def merged_extents(runs: DataFrame, parts: int, length: int = LENGTH) -> DataFrame:
     """(row, start, end) of repeated stretches, from the runs of each part merged into one order."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(batch: list[tuple]) -> pa.RecordBatch:
             rows, places, shared, group, rights, lefts = zip(*batch)
-            most, reach = extents(np.array(shared), np.array(group), np.array(rights), list(lefts))
+            most, reach = extents(np.array(shared), np.array(group), np.array(rights), list(lefts), length)
             some = most >= 0
             rows, places = np.array(rows)[some], np.array(places)[some]
             return pa.RecordBatch.from_arrays(
@@ -356,7 +365,7 @@ def merged_extents(runs: DataFrame, parts: int) -> DataFrame:
     return runs.repartition(parts, "part").sortWithinPartitions("part", "run").mapInArrow(merge, "row long, start long, end long")
 
 
-def counted_strings(texts: DataFrame) -> DataFrame:
+def counted_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, start, end) of repeated strings around the anchors ``hot`` of (row, text, hot).
 
     For grams so frequent that their anchors must not meet in one task: every string that holds such an anchor is named by a
@@ -366,17 +375,17 @@ def counted_strings(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, places in zip(*(batch.column(i) for i in range(3))):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                near = np.concatenate([np.arange(max(0, a - PLACES + 1), min(a, len(data) - LENGTH) + 1) for a in places.as_py()])
+                data, span = np.frombuffer(text.as_py().encode(), np.uint8), length - GRAM + 1
+                near = np.concatenate([np.arange(max(0, a - span + 1), min(a, len(data) - length) + 1) for a in places.as_py()])
                 near = np.unique(near)
-                first, second = string_hashes(data)
+                first, second = string_hashes(data, length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(near), row.as_py())), pa.array(near), pa.array(first[near]), pa.array(second[near])],
                     ["row", "start", "s1", "s2"])
 
     strings = texts.filter(F.size("hot") > 0).select("row", "text", "hot").mapInArrow(run, "row long, start long, s1 long, s2 long")
     twice = strings.groupBy("s1", "s2").agg(F.count("*").alias("c")).filter("c > 1").select("s1", "s2")
-    return strings.join(twice, ["s1", "s2"], "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
+    return strings.join(twice, ["s1", "s2"], "left_semi").select("row", "start", (F.col("start") + length).alias("end"))
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -385,9 +394,9 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT, length: int = LENGTH,
 ) -> tuple[DataFrame, DataFrame]:
-    """Where texts hold strings of ``LENGTH`` bytes that start anywhere else, too.
+    """Where texts hold strings of ``length`` bytes that start anywhere else, too.
 
     Returns ``spans`` (row, key, h, n, sha, removed: flat array of starts and ends, maximal and in order; one row per document) and
     ``texts`` (row, text) of the documents that are removed in part. ``h`` is ``xxhash64`` of the text, for joins.
@@ -395,17 +404,20 @@ def repeated_spans(
     1. Every text gives its anchors (about one in 170 bytes). Equal strings have equal anchors at the same place.
        Equal texts are one class: all of them are removed if long enough, and one stands for them in what follows.
     2. Anchors whose gram occurs once in the corpus cannot belong to a repeat and go; the gram counts are partial sums.
-    3. The suffixes at the other anchors are sorted into runs, front-coded and exchanged by ranges of their first bytes; each
+    3. The suffixes at the other anchors are sorted into runs, front-coded and exchanged by ranges of their first bytes (and of the gram,
+       where many begin alike; as many ranges as the number of suffixes asks for); each
        range is merged by a loser tree that yields the common prefixes; where they are long enough, left contexts are compared, too.
        Suffixes of a gram with more than ``hot`` anchors would meet in one task; their strings are counted instead.
     4. Each anchor's reach gives spans; spans of a document are united.
 
-    Null text counts as empty. Texts shorter than ``LENGTH`` lose nothing. A document given twice is two documents that
+    Null text counts as empty. Texts shorter than ``length`` lose nothing. A document given twice is two documents that
     are equal. Matches never cross documents.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, key, text)
-    found = store(describe(keyed), "anchors")
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM}")
+    found = store(describe(keyed, length), "anchors")
     classes = store(found.groupBy("h", "sha").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "classes")
     single = found.select("row", "key", "h", "anchors", "grams", "heads", "spans").join(classes.select("row"), "row", "left_semi")
     each = single.select("row", F.explode(F.arrays_zip("anchors", "grams", "heads")).alias("x")).select(
@@ -419,12 +431,12 @@ def repeated_spans(
         .filter(F.col("anchors").isNotNull() | (F.size("spans") > 0))
     )
     texts = store(
-        keyed.filter(F.octet_length("text") >= LENGTH).join(wanted, ["key", "h"])
+        keyed.filter(F.octet_length("text") >= length).join(wanted, ["key", "h"])
         .select("row", "text", "anchors", "hot", "spans").dropDuplicates(["row"]), "texts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chosen.filter(~F.col("hot")).count() // RANGE))
     shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set((chosen.agg(F.percentile_approx("head", shares, 100 * parts)).first()[0] if shares else []) or []))
-    reach = merged_extents(sorted_runs(texts, bounds), parts).unionByName(counted_strings(texts))
+    bounds = sorted((chosen.agg(F.percentile_approx("head", shares, min(100 * parts, 1_000_000))).first()[0] if shares else []) or [])
+    reach = merged_extents(sorted_runs(texts, bounds, length), parts, length).unionByName(counted_strings(texts, length))
     pairs = reach.select("row", F.array("start", "end").alias("s")).unionByName(
         texts.select("row", F.explode("spans").alias("s")))
 
@@ -434,7 +446,7 @@ def repeated_spans(
 
     part = store(pairs.groupBy("row").agg(F.collect_list("s").alias("s")).select("row", united("s").alias("part")), "spans")
     removed = (
-        F.when(F.col("n") < LENGTH, F.array().cast("array<bigint>"))
+        F.when(F.col("n") < length, F.array().cast("array<bigint>"))
         .when(F.col("copies") > 1, F.array(F.lit(0).cast("long"), F.col("n")))
         .otherwise(F.coalesce("part", F.array().cast("array<bigint>")))
     )

@@ -145,17 +145,31 @@ def test_repeats(result, edge_docs):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [suffix_runs.HOT, 5, 0])
-def test_repeats_of_random_pieces(spark, hot):
+@pytest.mark.parametrize("hot,length", [(suffix_runs.HOT, 400), (5, 400), (0, 400), (suffix_runs.HOT, 224), (5, 101), (0, 64)])
+def test_repeats_of_random_pieces(spark, hot, length):
     """Texts made of shared pieces and periods, so that repeats overlap, nest and end inside each other; with frequent grams."""
     rng = random.Random(9)
     parts = ["".join(rng.choice("abcde ") for _ in range(rng.choice([150, 260, 410, 700]))) for _ in range(12)]
     parts += ["xy" * 300, "q" * 450, "abc" * 150]
     texts = ["".join(rng.choice(parts)[rng.randrange(3):] for _ in range(rng.randrange(1, 7))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    spans, _ = suffix_runs.repeated_spans(docs, hot=hot)
+    spans, _ = suffix_runs.repeated_spans(docs, hot=hot, length=length)
     got = {r["key"]: suffix_runs._rest(texts[r["key"]], r["removed"]) for r in spans.collect()}
-    assert got == {i: k[0] for i, k in enumerate(brute.kept_bytes(texts))}
+    assert got == {i: k[0] for i, k in enumerate(brute.kept_bytes(texts, length))}
+
+
+def test_ranges_of_suffixes_that_begin_alike(spark):
+    """Repeated passages that all begin with the same bytes are spread over many parts, and found."""
+    rng = random.Random(12)
+    passages = ["0000000" + "".join(rng.choice("abcdefgh ") for _ in range(93)) for _ in range(300)]
+    rows = [(i, 2, p + f"tail {i}" * 20, [0]) for k in (0, 1) for i, p in enumerate(passages, 300 * k)]
+    texts = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "row long, text string, anchors array<bigint>")
+    head = int.from_bytes(b"0000000")
+    runs = suffix_runs.sorted_runs(texts, [head] * 7, length=100)
+    sizes = {r["part"]: r["n"] for r in runs.selectExpr("part", "size(rows) AS n").groupBy("part").agg({"n": "sum"}).toDF("part", "n").collect()}
+    assert len(sizes) == 7 and max(sizes.values()) < 600 / 4
+    found = suffix_runs.merged_extents(runs, 8, length=100).collect()
+    assert {r["row"] for r in found} == set(range(600)) and all((r["start"], r["end"]) == (0, 100) for r in found)
 
 
 def test_loser_tree():
@@ -340,7 +354,7 @@ def test_pipeline(spark, edge_dir, empty_dir, edge_docs, library):
     assert texts["near_dedup"] == Counter({(k, t): 1 for k, t in rows if k in stays})
     rows = list(texts["near_dedup"].elements())
     assert texts["repeats"] == Counter(
-        (k, kept.decode("utf-8", "ignore")) for (k, _), (kept, *_) in zip(rows, brute.kept_bytes([t for _, t in rows])))
+        (k, kept.decode("utf-8", "ignore")) for (k, _), (kept, *_) in zip(rows, brute.kept_bytes([t for _, t in rows], pipeline.PASSAGE)))
     assert {k for k, _ in texts["mix"]} <= {k for k, _ in texts["repeats"]} and max(Counter(k for k, _ in texts["mix"].elements()).values()) <= 2
     assert texts["tokens"] == Counter((k, library.decode(
         library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)) for k, t in texts["mix"].elements())
