@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import documents
 
-#: Bytes of a feature, and of one of a short text; features that compete; wins that a feature needs; entropy steps.
-FEATURE, SHORT, RIVALS, WINS, STEPS = 64, 8, 32, 8, 1000
+#: Bytes of a feature; features that compete; wins that a feature needs; entropy steps.
+FEATURE, RIVALS, WINS, STEPS = 32, 32, 8, 1000
 #: Bits of a filter, bits that a feature sets, features of a filter before the next is begun.
 BITS, PROBES, PER_FILTER = 2048, 5, 128
 #: Bytes that are worked on at once (a longer text is worked on alone).
@@ -50,24 +50,25 @@ def entropy_steps(data: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """64-bit hashes of the text's improbable windows, in text order; ``ranks``: how rare each window's entropy is.
 
-    Every ``RIVALS`` neighbouring windows elect the one whose entropy is rarest (the leftmost on a tie); a window
-    with ``WINS`` elections is a feature. Of a text too short for that, every window of ``SHORT`` bytes is one.
+    Every ``RIVALS`` neighbouring places elect the window whose entropy is rarest (the leftmost on a tie); places before
+    and after the text have none. A window with ``WINS`` elections is a feature. One rule for every length: the rarest window wins everywhere around
+    itself, so a text has at least one feature, and what is elected depends on its neighbourhood alone.
     """
-    n = len(ranks)
-    if n < 3 * FEATURE:
-        short = data if len(data) >= SHORT or not len(data) else np.pad(data, (0, SHORT - len(data)))
-        chosen = np.arange(len(short) - SHORT + 1) if len(short) else np.empty(0, np.int64)
-        return _hashes(short, chosen, SHORT)
-    key = (ranks << 40) | np.arange(n)
+    if not len(ranks):
+        return np.empty(0, np.uint64)
+    beyond = np.full(RIVALS - 1, np.iinfo(np.int64).max)
+    key = np.concatenate([beyond, (ranks << 40) | np.arange(len(ranks)), beyond])
     width = 1
     while width < RIVALS:
         key = np.minimum(key[:len(key) - width], key[width:])
         width *= 2
-    wins = np.bincount(key & ((1 << 40) - 1), minlength=n)
-    chosen = np.flatnonzero(wins >= WINS)
-    if not len(chosen):
-        chosen = np.flatnonzero(wins == wins.max())[:1]
-    return _hashes(data, chosen, FEATURE)
+    wins = np.bincount(key & ((1 << 40) - 1), minlength=len(ranks))
+    return _hashes(data, np.flatnonzero(wins >= WINS), FEATURE)
+
+
+def padded(text: str | None) -> bytes:
+    """Bytes of a text, filled up with zeros to the length of a feature; nothing of an empty one."""
+    return text.encode().ljust(FEATURE, b"\0") if text else b""
 
 
 def _hashes(data: np.ndarray, chosen: np.ndarray, width: int) -> np.ndarray:
@@ -133,7 +134,7 @@ def entropy_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for value in batch.column(0):
                 if value.is_valid:
-                    block.append(value.as_py().encode())
+                    block.append(padded(value.as_py()))
                     size += len(block[-1])
                     if size >= BLOCK:
                         add(block)
@@ -152,7 +153,7 @@ def entropy_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def fingerprints(texts: Sequence[str], rank: np.ndarray) -> list[np.ndarray]:
     """Filters of each text; the texts are laid end to end, so that short ones cost no calls of their own."""
-    raw = [t.encode() for t in texts]
+    raw = [padded(t) for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     steps, at, out = entropy_steps(data), 0, []
     for r in raw:

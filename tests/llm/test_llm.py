@@ -203,8 +203,8 @@ def test_digests(result, edge_docs):
 def test_entropy_and_likeness():
     data = np.frombuffer(random.Random(4).randbytes(500).replace(b"\x01", b"aaaaaaaa"), np.uint8)
     for p, step in enumerate(digest.entropy_steps(data)):
-        share = np.array(list(Counter(data[p:p + 64].tolist()).values())) / 64
-        assert abs(step - digest.STEPS * (-(share * np.log2(share)).sum() / 6)) <= 0.51
+        share = np.array(list(Counter(data[p:p + digest.FEATURE].tolist()).values())) / digest.FEATURE
+        assert abs(step - digest.STEPS * (-(share * np.log2(share)).sum() / np.log2(digest.FEATURE))) <= 0.51
     rank = np.arange(digest.STEPS + 1)
     text, other = ("".join(random.Random(seed).choices("abcdefgh ijkl", k=4000)) for seed in (6, 7))
     a, b, c, d = digest.fingerprints([text, text[:3600] + other[3600:], other, text], rank)
@@ -212,6 +212,54 @@ def test_entropy_and_likeness():
     assert digest.likeness(a, b) == digest.likeness(b, a)
 
 
+def plain_digest(text, rank):
+    """Fingerprint by its definition: entropy of each window, elections place by place, one filter after another."""
+    data = (text or "").encode()
+    data = data.ljust(digest.FEATURE, b"\0") if data else data
+    n = len(data) - digest.FEATURE + 1
+    steps = [int(digest.entropy_steps(np.frombuffer(data[p:p + digest.FEATURE], np.uint8))[0]) for p in range(max(0, n))]
+    wins = Counter(
+        min((rank[steps[p]], p) for p in range(max(0, e), min(n, e + digest.RIVALS)))[1] for e in range(1 - digest.RIVALS, n)) if n > 0 else {}
+    chosen = sorted(p for p, w in wins.items() if w >= digest.WINS)
+    out = b""
+    for s in range(0, len(chosen), digest.PER_FILTER):
+        bits = 0
+        for p in chosen[s:s + digest.PER_FILTER]:
+            h = 0x9E3779B97F4A7C15
+            for k in range(0, digest.FEATURE, 8):
+                h = (h ^ int.from_bytes(data[p + k:p + k + 8], "little")) * 0xBF58476D1CE4E5B9 % 2**64
+                h ^= h >> 29
+            for k in range(digest.PROBES):
+                bits |= 1 << (digest.BITS - 1 - (h >> 11 * k) % digest.BITS)
+        out += bits.to_bytes(digest.BITS // 8)
+    return out
+
+
+def test_fingerprints_by_definition():
+    rng = random.Random(6)
+    rank = np.array(rng.sample(range(digest.STEPS + 1), digest.STEPS + 1))
+    texts = ["".join(rng.choice("abcdef é.") for _ in range(n)) for n in (0, 1, 7, 31, 32, 33, 64, 95, 190, 191, 192, 255, 260, 900, 5000)] + ["a" * 400]
+    for text, own in zip(texts, digest.fingerprints(texts, rank)):
+        assert own.tobytes() == plain_digest(text, rank)
+
+
+def test_likeness_at_every_length():
+    """Near copies are alike at every length, whichever side of a number of bytes either is on."""
+    rng = random.Random(16)
+    rank = np.arange(digest.STEPS + 1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for n in range(80, 700, 13):
+        text = " ".join(rng.choice(words) for _ in range(n))[:n]
+        a, b, c, d = digest.fingerprints([text, text[:-10], "more ahead" + text, " ".join(rng.choice(words) for _ in range(n))[:n]], rank)
+        # Ten bytes are an eighth of the shortest text, and near all of its few windows.
+        assert min(digest.likeness(a, b), digest.likeness(a, c)) > (0.7 if n >= 200 else 0.4), n
+        assert digest.likeness(a, d) < 0.35, n
+    text = " ".join(rng.choice(words) for _ in range(60))
+    for cut in (250, 254, 255, 256, 260):
+        a, b = digest.fingerprints([text[:cut], text[:cut // 2] + "other words that follow here " * 9], rank)
+        assert digest.likeness(a, b) > 0.2
+
+
 def test_shards(result):
     rows = result("op6_")
     assert all(r["grown_shard"] in (r["shard"], 8) for r in rows)
