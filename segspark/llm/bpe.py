@@ -94,9 +94,9 @@ class Vocabulary:
         self.cut = regex.compile(PATTERN)
         self.tokens = {i: t for t, i in (ids | self.added).items()}
         self.plain, self.marked = re.compile(LETTERS), re.compile(f"({LETTERS})({MARKS})")
-        self.pieces = BoundedDict(self.encode_piece, 300_000)
+        self.pieces = BoundedDict(self.encode_piece, 150_000)
         # Words in lower case: many more than pieces that come again, and each costs its merges.
-        self.words = BoundedDict(self.encode_word, 900_000)
+        self.words = BoundedDict(self.encode_word, 400_000)
 
     def encode_word(self, word: str) -> bytes:
         data = word.encode()
