@@ -18,6 +18,7 @@ HEADLINE = [
     "erasure_creation", "density_curve", "binomial_counts", "metro_model_frame", "paired_cells",
     "overlay_join", "overlay_area_rings", "largest_overlap_assign", "queen_adjacency", "win_share", "row_id",
     "layout_check", "ols_multi", "quantiles_by_group", "permutation_null", "permutation_null_stratified",
+    "permutation_null_drawn", "permutation_null_drawn_stratified",
 ]
 
 

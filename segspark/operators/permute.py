@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,100 @@ def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: st
     if not counted:
         return paired.select("sim", *strata, leaf, *carry, group, F.lit(1).cast("long").alias("value"))
     return paired.groupBy("sim", *strata, leaf, *carry, group).agg(F.count(F.lit(1)).alias("value"))
+
+
+def split_counts(rng: np.random.Generator, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Deals people of known groups out to places of known sizes at random: (sims, groups) and (places) to (sims, places, groups).
+
+    A splitting tree over the places: how many of each group go to the left half is one hypergeometric draw after another, then each half
+    is dealt out alone. All nodes of a level and all simulations are drawn at once; the work does not depend on the number of people.
+    """
+    width = 1 << max(0, len(sizes) - 1).bit_length()
+    total = np.concatenate([[0], np.cumsum(np.pad(sizes, (0, width - len(sizes))))])
+    out = counts[:, None, :].astype(np.int64)
+    while width > 1:
+        half = width // 2
+        starts = np.arange(out.shape[1]) * width
+        room = np.broadcast_to(total[starts + half] - total[starts], out.shape[:2]).copy()
+        left = np.zeros_like(out)
+        rest = out.sum(2)
+        for g in range(out.shape[2]):
+            rest = rest - out[:, :, g]
+            left[:, :, g] = rng.hypergeometric(out[:, :, g], rest, room) if g + 1 < out.shape[2] else room
+            room -= left[:, :, g]
+        out = np.stack([left, out - left], 2).reshape(out.shape[0], -1, out.shape[2])
+        width = half
+    return out[:, :len(sizes)]
+
+
+def drawn_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str, value: str, n_sims: int, seed: int,
+                carry: Sequence[str] = (), bucket: int = 512, sims_at_once: int = 10) -> DataFrame:
+    """As ``permuted_cells`` in distribution, drawn from the counts without a row for any person.
+
+    With both margins of a stratum fixed, a random pairing of people and places is a table drawn by hypergeometric splits. Leaves fall into
+    buckets by a hash, about ``bucket`` of them each: first each stratum's people are split over its buckets (one number a group and
+    bucket), then every bucket is split over its leaves, all buckets apart, so a stratum of any size is many tasks' work. Random
+    numbers are counter-based, keyed by seed, stratum, bucket and block of ``sims_at_once`` simulations: a lost task
+    draws the same again. A null stratum is a stratum; leaves and groups without people have no rows. A stratum may count up to 10^9 people.
+    """
+    strata, carry = list(strata), list(carry)
+    filled = cells.where(F.col(value) > 0)
+    leaves = filled.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
+    most = leaves.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    held = leaves.withColumn("_b", F.pmod(F.xxhash64(leaf, *carry), F.lit(-(-most // bucket)).cast("long"))).groupBy(*strata, "_b").agg(
+        F.sum("_v").alias("_m"), F.array_sort(F.collect_list(F.struct(leaf, *carry, "_v"))).alias("_leaves"))
+    margins = filled.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n")).groupBy(*strata).agg(
+        F.array_sort(F.collect_list(F.struct(group, "_n"))).alias("_groups"))
+    tops = held.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_buckets"))
+
+    def same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        named = right.toDF(*[f"_r_{c}" if c in keys else c for c in right.columns])
+        on = F.lit(True)
+        for k in keys:
+            on &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1), F.lit(sims_at_once))).alias("_sim")
+    starts = same(tops, margins, strata).select(*strata, "_buckets", "_groups", blocks)
+    key = lambda df, *more: df.withColumn("_h", F.xxhash64(*strata, F.lit("|"), *more, "_sim"))
+
+    def generator(h: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=np.array([seed % 2**64, h % 2**64], np.uint64)))
+
+    def sims(first: int) -> int:
+        return min(sims_at_once, n_sims - first)
+
+    def over_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                boxes, people = batch.column("_buckets")[r].values, batch.column("_groups")[r].values
+                first = batch.column("_sim")[r].as_py()
+                n = people.field("_n").to_numpy(zero_copy_only=False)
+                got = split_counts(generator(batch.column("_h")[r].as_py()), np.tile(n, (sims(first), 1)), boxes.field("_m").to_numpy(zero_copy_only=False))
+                k = len(boxes)
+                again = pa.array(np.full(k, r))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(s).take(again) for s in strata], boxes.field("_b"), pa.array(np.full(k, first, np.int32)),
+                     batch.column("_groups").take(again), pa.array(list(got.transpose(1, 0, 2).reshape(k, -1)), pa.list_(pa.int64()))],
+                    [*strata, "_b", "_sim", "_groups", "_drawn"])
+
+    def over_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                homes, people = batch.column("_leaves")[r].values, batch.column("_groups")[r].values
+                first = batch.column("_sim")[r].as_py()
+                drawn = batch.column("_drawn")[r].values.to_numpy(zero_copy_only=False).reshape(sims(first), len(people))
+                got = split_counts(generator(batch.column("_h")[r].as_py()), drawn, homes.field("_v").to_numpy(zero_copy_only=False))
+                sim, home, kind = np.nonzero(got)
+                again = pa.array(np.full(len(sim), r))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((sim + first).astype(np.int32)), *[batch.column(s).take(again) for s in strata],
+                     *[homes.field(c).take(pa.array(home)) for c in [leaf, *carry]], people.field(group).take(pa.array(kind)), pa.array(got[sim, home, kind])],
+                    ["sim", *strata, leaf, *carry, group, "value"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    named = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    groups = dict(starts.dtypes)["_groups"]
+    dealt = key(starts).mapInArrow(over_buckets, f"{named(strata)}, _b bigint, _sim int, _groups {groups}, _drawn array<bigint>")
+    rows = same(dealt, held.select(*strata, "_b", "_leaves"), [*strata, "_b"])
+    return key(rows, F.col("_b")).mapInArrow(over_leaves, f"sim int, {named([*strata, leaf, *carry, group])}, value bigint")

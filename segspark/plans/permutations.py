@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segspark.operators import reshape, theil
-from segspark.operators.permute import permuted_cells
+from segspark.operators.permute import drawn_cells, permuted_cells
 from segspark.plans.inputs import CELL, FOCAL, FOUR, cell, rounded
 from segspark.plans.registry import query
 from segspark.plans.segregation import CORE, FOUR_SQL, focal_sql, rounded_cols
@@ -45,3 +45,54 @@ def q_null(spark, sf):
 def q_null_stratified(spark, sf):
     """Shuffles only inside each mid unit."""
     return null_measures(spark, sf, ["cbsa", "tract"])
+
+
+def drawn(spark, sf, strata: list[str]):
+    cells = reshape.both_zero_dropped(cell(spark, sf), "census", "dp").where(F.col("race").isin(FOUR))
+    carry = [] if "tract" in strata else ["tract"]
+    return drawn_cells(cells, strata, "block", "race", "census", N_SIMS, SEED, carry)
+
+
+def drawn_measures(spark, sf, strata: list[str]):
+    """As ``null_measures``, from tables drawn at the level of counts."""
+    h = theil.Hierarchy(scope=["cbsa", "sim"], mid="tract", leaf=["block"], group="race", sources={None: "value"})
+    out = theil.decompose(drawn(spark, sf, strata), h, FOUR, focal=FOCAL)
+    return rounded_cols(out.withColumn("name", F.format_string("SIM%03d", "sim")).drop("sim"), [*CORE, "Hbg", "Pbg"])
+
+
+@query("permutation_null_drawn")
+def q_drawn(spark, sf):
+    """Null distribution from hypergeometric draws: random, so its margins and moments are checked, not its values."""
+    return drawn_measures(spark, sf, ["cbsa"])
+
+
+@query("permutation_null_drawn_stratified")
+def q_drawn_stratified(spark, sf):
+    return drawn_measures(spark, sf, ["cbsa", "tract"])
+
+
+def margins_sql(strata: str) -> str:
+    """Both margins of every simulated table are those of the counts."""
+    return f"""with {CELL}, pc as (select * from cell where not (census = 0 and dp = 0) and race in ({FOUR_SQL}) and census > 0),
+sims as (select 'SIM' || lpad(cast(i as varchar), 3, '0') as "name" from range({N_SIMS}) t(i)),
+g as (select {strata}, 'race' kind, cast(race as varchar) unit, cast(sum(census) as bigint) n from pc group by {strata}, race),
+l as (select {strata}, 'block' kind, cast(block as varchar) unit, cast(sum(census) as bigint) n from pc group by {strata}, block)
+select * from sims cross join (select * from g union all select * from l)"""
+
+
+def drawn_margins(spark, sf, strata: list[str]):
+    cells = drawn(spark, sf, strata)
+    name = F.format_string("SIM%03d", "sim").alias("name")
+    sums = lambda unit: cells.groupBy("sim", *strata, unit).agg(F.sum("value").alias("n")).select(
+        name, *strata, F.lit(unit).alias("kind"), F.col(unit).cast("string").alias("unit"), "n")
+    return sums("race").unionByName(sums("block"))
+
+
+@query("permutation_drawn_margins", margins_sql("cbsa"))
+def q_drawn_margins(spark, sf):
+    return drawn_margins(spark, sf, ["cbsa"])
+
+
+@query("permutation_drawn_margins_stratified", margins_sql("cbsa, tract"))
+def q_drawn_margins_stratified(spark, sf):
+    return drawn_margins(spark, sf, ["cbsa", "tract"])

@@ -186,6 +186,43 @@ def test_permutation_keeps_margins(spark, strata):
     assert plain.count() == out.agg(F.sum("value")).first()[0]
 
 
+@pytest.mark.parametrize("strata", [["scope"], ["scope", "tract"]])
+def test_drawn_tables_keep_margins(spark, strata):
+    """Every simulated table has both margins, whatever the buckets; a null stratum is one."""
+    df = cells(spark).unionByName(cells(spark).withColumn("scope", F.lit(None).cast("string")))
+    carry = [c for c in ["tract"] if c not in strata]
+    for bucket in (512, 3):
+        out = permute.drawn_cells(df, strata, "block", "race", "n", 7, 11, carry, bucket=bucket, sims_at_once=3).cache()
+        for keys in (strata + ["race"], [*strata, *carry, "block"]):
+            want = {tuple(r[k] for k in keys): r.n for r in df.groupBy(*keys).agg(F.sum("n").alias("n")).collect() if r.n}
+            for sim in range(7):
+                assert {tuple(r[k] for k in keys): r.n for r in out.where(F.col("sim") == sim).groupBy(*keys).agg(F.sum("value").alias("n")).collect()} == want
+    again = permute.drawn_cells(df.repartition(7), strata, "block", "race", "n", 7, 11, carry, bucket=3, sims_at_once=3)
+    assert out.exceptAll(again).count() == 0
+    assert permute.drawn_cells(df.limit(0), strata, "block", "race", "n", 7, 11, carry).count() == 0
+
+
+def test_drawn_tables_are_distributed_as_permutations(spark):
+    """Mean and spread of every cell, and of a measure, agree with those of tables made person by person."""
+    rng = np.random.default_rng(3)
+    counts, sizes, sims = np.array([40, 25, 10]), np.array([5, 30, 0, 12, 9, 19]), 4000
+    got = permute.split_counts(rng, np.tile(counts, (sims, 1)), sizes)
+    assert (got.sum(1) == counts).all() and (got.sum(2) == sizes).all() and (got >= 0).all()
+    people, homes = np.repeat(np.arange(3), counts), np.repeat(np.arange(6), sizes)
+    plain = np.zeros_like(got)
+    for s in range(sims):
+        np.add.at(plain[s], (homes, rng.permutation(people)), 1)
+    total = counts.sum()
+    mean = np.outer(sizes, counts) / total
+    var = mean * (1 - counts / total) * ((total - sizes) / (total - 1))[:, None]
+    for table in (got, plain):
+        assert (np.abs(table.mean(0) - mean) <= 5 * np.sqrt(var / sims)).all()
+        assert np.allclose(table.var(0), var, rtol=0.15, atol=0.02)
+    h = lambda t: -(t * np.log(np.maximum(t, 1) / np.maximum(t.sum(2, keepdims=True), 1))).sum((1, 2)) / total
+    a, b = h(got), h(plain)
+    assert abs(a.mean() - b.mean()) < 5 * np.sqrt((a.var() + b.var()) / sims) and abs(a.std() / b.std() - 1) < 0.1
+
+
 def test_expand_large_count(spark):
     df = spark.createDataFrame([("a", 10_000), ("b", 3), ("c", 0)], "k string, n int")
     ks = permute.expand_counts(df, ["k"], "n", out="i", chunk=64).groupBy("k").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_distinct("i").alias("d"))
