@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segspark.functions import tidy
-from segspark.operators import ranking, relate, spatial
+from segspark.operators import ranking, relate, shapes, spatial
 from segspark.plans.inputs import METRO_BOX, PLACE_BOX, UNIT_BOX, metro_box, place_box, unit_box
 from segspark.plans.registry import query
 
@@ -130,3 +130,83 @@ def q_central(spark, sf):
 select distinct a.geoid id1, b.geoid id2 from v a join v b on a.x = b.x and a.y = b.y and a.geoid < b.geoid""")
 def q_adjacency(spark, sf):
     return spatial.adjacency(box_rings(unit_box(spark, sf)), "geoid")
+
+
+# --- shapes of several parts and with holes -----------------------------------------------------
+
+
+def box_shape(*parts):
+    """A shape from parts ``(condition, outer box, hole condition, hole box)``; boxes are four columns."""
+    ring = spatial.box_ring
+    rings = [F.when(holed, F.array(ring(*outer), ring(*hole))).otherwise(F.array(ring(*outer))) for _, outer, holed, hole in parts]
+    return F.array_compact(F.array(*[F.when(part[0], r) for part, r in zip(parts, rings)]))
+
+
+def unit_shapes(spark, sf):
+    """Units of one or two parts, every other one with a hole, each in one of three states."""
+    k = F.col("geoid")
+    x0, y0, x1, y1 = (F.col(c) for c in spatial.BOX)
+    hole = (x0 + 0.25, y0 + 0.25, x1 - 0.25, y1 - 0.25)
+    shape = box_shape((F.lit(True), (x0, y0, x1, y1), k % 2 == 0, hole),
+                      (k % 3 == 0, (x0 + 2, y0, x1 + 1.5, y1 + 0.5), F.lit(False), hole))
+    return shapes.with_shape_bounds(unit_box(spark, sf).select("geoid", (k % 3).alias("state"), shape.alias("shape")))
+
+
+def place_shapes(spark, sf):
+    """Places of one or two parts, two of three with a hole, each in one of three states."""
+    k = F.col("place")
+    x0, y0, x1, y1 = (F.col(c) for c in spatial.BOX)
+    hole = (x0 + 1, y0 + 0.375, x0 + 2, y0 + 1.625)
+    shape = box_shape((F.lit(True), (x0, y0, x1, y1), k % 3 != 0, hole),
+                      (k % 2 == 0, (x1 + 0.5, y0, x1 + 1.75, y1 - 0.5), F.lit(False), hole))
+    return shapes.with_shape_bounds(place_box(spark, sf).select("place", (k % 3).alias("state"), shape.alias("shape")))
+
+
+# The check has no polygons: a shape is a list of boxes that count 1 (parts) or -1 (holes), and areas and moments add up.
+SHAPE_OVERLAP = f"""with {UNIT_BOX}, {PLACE_BOX},
+us as (select geoid, geoid % 3 state, 1 s, x0, y0, x1, y1 from unit_box union all select geoid, geoid % 3, -1, x0 + 0.25e0, y0 + 0.25e0, x1 - 0.25e0, y1 - 0.25e0 from unit_box where geoid % 2 = 0
+ union all select geoid, geoid % 3, 1, x0 + 2, y0, x1 + 1.5e0, y1 + 0.5e0 from unit_box where geoid % 3 = 0),
+ps as (select place, place % 3 state, 1 s, x0, y0, x1, y1 from place_box union all select place, place % 3, -1, x0 + 1, y0 + 0.375e0, x0 + 2, y0 + 1.625e0 from place_box where place % 3 <> 0
+ union all select place, place % 3, 1, x1 + 0.5e0, y0, x1 + 1.75e0, y1 - 0.5e0 from place_box where place % 2 = 0),
+ov as (select geoid, place, u.state = p.state same_state, u.s * p.s s, greatest(u.x0, p.x0) l, least(u.x1, p.x1) r, greatest(u.y0, p.y0) b, least(u.y1, p.y1) t
+ from us u join ps p on {OVERLAP}),
+sh as (select geoid, place, bool_or(same_state) same_state, sum(s * (r - l) * (t - b)) area, sum(s * (r - l) * (t - b) * (l + r) / 2) mx, sum(s * (r - l) * (t - b) * (b + t) / 2) my
+ from ov group by geoid, place)"""
+
+
+def shape_pieces(spark, sf, also_on=()):
+    units, places = unit_shapes(spark, sf), place_shapes(spark, sf)
+    pairs = spatial.overlay_pairs(units, places, "geoid", "place", cell=1.5, also_on=also_on)
+    return shapes.overlay_pieces(pairs, units, places, "geoid", "place", strip=2.0)
+
+
+@query("overlay_pieces", f"""{SHAPE_OVERLAP} select geoid, place, round(area, 6) + 0.0 as area, round(mx / area, 6) + 0.0 as cx, round(my / area, 6) + 0.0 as cy
+from sh where area > 1e-9""")
+def q_overlay_pieces(spark, sf):
+    """Area and centre of what units and places share, both of several parts and with holes."""
+    measured = shapes.piece_measures(shape_pieces(spark, sf), "geoid", "place")
+    return measured.select("geoid", "place", *[tidy(F.col(c)).alias(c) for c in ("area", "cx", "cy")])
+
+
+@query("largest_overlap_assign_shapes", f"""{SHAPE_OVERLAP}, m as (select geoid, place from (
+ select geoid, place, row_number() over (partition by geoid order by round(area, 6) desc, place) rn from sh where same_state and area > 0.001) where rn = 1)
+select u.geoid, coalesce('Place' || cast(m.place as varchar), 'No Place') name_full from unit_box u left join m on u.geoid = m.geoid""")
+def q_assign_shapes(spark, sf):
+    """Each unit's place of its own state, by the area that the true shapes share; the first place wins a tie."""
+    measured = shapes.piece_measures(shape_pieces(spark, sf, ["state"]), "geoid", "place")
+    areas = measured.select("geoid", "place", tidy(F.col("area")).alias("area"))
+    best = spatial.assign_largest_overlap(areas, "geoid", "place", "area", ties="first", least=0.001)
+    named = best.select("geoid", F.concat(F.lit("Place"), F.col("place").cast("string")).alias("name_full"))
+    return relate.assign_place(unit_box(spark, sf).select("geoid"), named, "geoid", "name_full")
+
+
+@query("largest_overlap_assign_buffered", f"""with {UNIT_BOX}, {PLACE_BOX}, wide as (select geoid, x0 - 0.25e0 x0, y0 - 0.25e0 y0, x1 + 0.25e0 x1, y1 + 0.25e0 y1 from unit_box),
+o as (select geoid, place, {OVERLAP_AREA} area from wide u join place_box p on {OVERLAP} and geoid % 3 = place % 3)
+select geoid, place, round(area, 6) + 0.0 as area from (select *, rank() over (partition by geoid order by area desc) rk from o) where rk = 1""")
+def q_assign_buffered(spark, sf):
+    """Boxes widened by a buffer that reaches past a border, places of the unit's own state only; ties stay."""
+    units = unit_box(spark, sf).withColumn("state", F.col("geoid") % 3)
+    places = place_box(spark, sf).withColumn("state", F.col("place") % 3)
+    pairs = spatial.overlay_pairs(units, places, "geoid", "place", cell=1.5, tolerance=0.25, also_on=["state"])
+    best = spatial.assign_largest_overlap(pairs, "geoid", "place", "box_overlap")
+    return pairs.join(best, ["geoid", "place"]).select("geoid", "place", tidy(F.col("box_overlap")).alias("area"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segspark import sources
 from segspark.functions import equal_width_bin, finite_or, invert, replace_first, right_closed_bin, strict_sum
-from segspark.operators import compare, distribution, models, permute, ranking, relate, reshape, spatial
+from segspark.operators import compare, distribution, models, permute, ranking, relate, reshape, shapes, spatial
 from segspark.session import scratch_dir
 
 
@@ -407,3 +407,58 @@ def test_pruned_scan_reads_two_columns(spark):
 def test_equal_width_edges(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "v double")
     assert [r.b for r in df.select(equal_width_bin(F.col("v"), F.lit(0.0), F.lit(1.0), 2).alias("b")).collect()] == [1, 1, 2, None]
+
+
+# --- shapes ---
+
+
+def shape_df(spark, key, shapes_):
+    rows = [(i, [[[(float(x), float(y)) for x, y in ring] for ring in part] for part in s]) for i, s in enumerate(shapes_)]
+    return spark.createDataFrame(rows, f"{key} int, shape array<array<array<struct<x: double, y: double>>>>")
+
+
+def test_pieces_of_shapes_with_holes_and_parts(spark):
+    rng = np.random.default_rng(12)
+    comb = [(-4, -3), (4, -3), (4, 3), (3, 3), (3, -2), (1, -2), (1, 3), (0, 3), (0, -2), (-4, -2)]
+    square = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    diamond = [(0, -4), (4, 0), (0, 4), (-4, 0)]
+    left = [
+        [[diamond, square(-1, -1, 2)]],                                     # slanted sides and a hole
+        [[diamond[::-1], square(-1, -1, 2)[::-1]], [square(5, 5, 1)]],      # the other direction, and a second part
+        [[comb]], [[square(-3, -3, 3)], [square(0, -3, 3)]],                # two parts that share an edge
+        [[square(-5, -5, 10), square(-5, -5, 4)]],                          # a hole at the border
+        [], [[[(0, 0), (1, 1)]]],                                           # covers nothing
+        *[[[regular(rng, 7)]] for _ in range(6)],
+    ]
+    right = [[[square(-1, -1, 3)]], [[square(0, 0, 6)]], [[diamond]], *[[[regular(rng, 5)]] for _ in range(8)]]
+    a, b = shape_df(spark, "a", left), shape_df(spark, "b", right)
+    pairs = spatial.overlay_pairs(shapes.with_shape_bounds(a), shapes.with_shape_bounds(b), "a", "b", cell=0.7)
+
+    def want(s, w):
+        """Parts less holes, each clipped by the convex window."""
+        return sum((1 if i == 0 else -1) * clip(ring, w) for part in s for i, ring in enumerate(part) if len(ring) > 2)
+
+    for strip in (0.37, 50.0):
+        pieces = shapes.overlay_pieces(pairs, a, b, "a", "b", strip)
+        got = {(r.a, r.b): r.area for r in shapes.piece_measures(pieces, "a", "b").collect()}
+        for i, s in enumerate(left):
+            for j, w in enumerate(right):
+                assert got.get((i, j), 0.0) == pytest.approx(want(s, w[0][0]), abs=1e-8), (strip, i, j)
+    area = {r.a: r.s for r in a.select("a", shapes.shape_area(F.col("shape")).alias("s")).collect()}
+    assert area[0] == area[1] - 1 == 28 and area[3] == 18 and area[5] == area[6] == 0
+
+
+def test_holes_on_both_sides_and_centre(spark):
+    square = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    # A hole in one meets a hole in the other; a part that lies in the other's hole shares nothing with it.
+    a = shape_df(spark, "a", [[[square(0, 0, 8), square(2, 2, 4)], [square(3, 3, 2)]], [[square(0, 0, 1)]]])
+    b = shape_df(spark, "b", [[[square(1, 1, 8), square(3, 3, 4)]], [[square(1, 0, 1)]], [[square(2, 2, 4)]]])
+    pairs = a.select("a").crossJoin(b.select("b"))
+    got = {(r.a, r.b): r for r in shapes.piece_measures(shapes.overlay_pieces(pairs, a, b, "a", "b", 3.0), "a", "b").collect()}
+    grid = (np.arange(0, 10, 0.5) + 0.25)
+    x, y = np.meshgrid(grid, grid)
+    box = lambda x0, y0, d: (x > x0) & (x < x0 + d) & (y > y0) & (y < y0 + d)
+    both = (box(0, 0, 8) & ~box(2, 2, 4) | box(3, 3, 2)) & box(1, 1, 8) & ~box(3, 3, 4)
+    r = got[(0, 0)]
+    assert (r.area, r.cx, r.cy) == pytest.approx((both.sum() * 0.25, x[both].mean(), y[both].mean()))
+    assert got[(0, 2)].area == pytest.approx(4.0) and (1, 1) not in got and (1, 2) not in got
