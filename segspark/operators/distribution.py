@@ -11,55 +11,80 @@ from pyspark.sql import functions as F
 from segspark.functions.binning import equal_width_bin
 
 
+#: Steps of the sketch that narrows a bracket, and its accuracy: a rank is known to a quarter of a step.
+STEPS, ACCURACY = 500, 2_000
+
+
+def _met(known: DataFrame, by: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Rows against the brackets of their group; what lies above a bracket is dropped."""
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return known.join(brackets, same).where(F.col("_x") <= F.col("_hi"))
+
+
+def quantile_brackets(known: DataFrame, by: Sequence[str], probs: Sequence[float], limit: int) -> DataFrame:
+    """Values ``_lo`` and ``_hi`` around the quantile ``_p`` of ``_x`` in every group (``_k0``, ...) of ``_n`` rows.
+
+    A bracket starts as the range of its group and is narrowed in rounds. Each round sketches the rows inside the
+    brackets (partial aggregates) and keeps the steps next to the wanted rank: at most 5 in ``STEPS`` of the rows,
+    whatever their distribution, and rows that equal an end. The number of rounds follows from the largest group, so that
+    in the end at most ``limit`` rows, but for those that equal an end, are inside. With ``limit`` rows or fewer in every group there
+    is no round.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    sizes = known.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    rounds, most = 0, sizes.agg(F.max("_n")).first()[0] or 0
+    while most > limit:
+        most, rounds = most * 5 // STEPS, rounds + 1
+    brackets = sizes.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs])))
+    pos = F.lit(1.0) + (F.col("_n") - 1) * F.col("_p")
+    x = F.col("_x")
+    for _ in range(rounds):
+        within = F.when(x >= F.col("_lo"), x)
+        steps = F.percentile_approx(within, F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]), ACCURACY)
+        inside = _met(known, by, brackets).groupBy(*keys, "_p", "_n", "_lo", "_hi").agg(
+            F.count(F.when(x < F.col("_lo"), 1)).alias("_below"), F.count(within).alias("_in"), steps.alias("_s"))
+        at = lambda rank: (rank - F.col("_below")) * STEPS / F.col("_in")
+        low = F.greatest(F.floor(at(F.floor(pos))) - 1, F.lit(0)).cast("int")
+        high = F.least(F.ceil(at(F.ceil(pos))) + 1, F.lit(STEPS)).cast("int")
+        # The first and the last step are the ends of the bracket, whatever the sketch says.
+        brackets = inside.select(
+            *keys, "_p", "_n", F.when(low == 0, F.col("_lo")).otherwise(F.get("_s", low)).alias("_lo"),
+            F.when(high == STEPS, F.col("_hi")).otherwise(F.get("_s", high)).alias("_hi"))
+    return brackets
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    limit: int = 100_000) -> DataFrame:
     """Interpolated quantiles (position ``1 + (n-1) p``) per group, exact without sorting a group.
 
-    A sketch with a known rank error brackets every quantile. Rows below a bracket are only
-    counted, rows above it are dropped, and just the distinct values inside it are shuffled and
-    put in order. Brackets and rows meet in a join by key, which Spark turns into a broadcast where
-    the brackets are few.
+    Only the distinct values inside the last bracket of a quantile (``quantile_brackets``) are put in order, about ``limit`` at most;
+    rows below it are counted. Null values and groups without a value are left out; a null key is a group.
     """
     by, probs = list(by), [float(p) for p in probs]
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     if not by:
         known, by = known.withColumn("_all", F.lit(0)), ["_all"]
-    # Wider than the rank error of the sketch by at least one row once n > accuracy.
-    slack = 3.0 / accuracy
-    low = F.percentile_approx("_x", F.array(*[F.lit(max(0.0, p - slack)) for p in probs]), accuracy)
-    high = F.percentile_approx("_x", F.array(*[F.lit(min(1.0, p + slack)) for p in probs]), accuracy)
-    sketch = known.groupBy(*by).agg(
-        low.alias("_lo"), high.alias("_hi"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    # A group of at most ``accuracy`` rows is its own bracket, as are the ends of any group.
-    small = F.col("_n") <= accuracy
-    ends = []
-    for i, p in enumerate(probs):
-        ends.append(F.when(small | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias(f"_lo{i}"))
-        ends.append(F.when(small | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias(f"_hi{i}"))
-    brackets = sketch.select(*by, "_n", *ends)
-    joined = known.join(brackets, by)
-    x = F.col("_x")
-    # One entry per quantile: the value inside its bracket, NULL below, nothing above.
-    entries = F.array(*[
-        F.when(x <= F.col(f"_hi{i}"), F.struct(F.lit(p).alias("p"), F.when(x >= F.col(f"_lo{i}"), x).alias("v")))
-        for i, p in enumerate(probs)
-    ])
-    seen = joined.select(*by, "_n", F.explode(entries).alias("_e")).where(F.col("_e").isNotNull())
-    counted = seen.groupBy(*by, "_n", F.col("_e.p").alias("p"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first())
+    keys = [f"_k{i}" for i in range(len(by))]
+    brackets = quantile_brackets(known, by, probs, limit)
+    # The lowest entry of a bracket, without a value, stands for all rows below it.
+    counted = _met(known, by, brackets).groupBy(*keys, "_p", "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_p", "_n").orderBy(F.col("_v").asc_nulls_first())
     counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pos = F.lit(1.0) + (F.col("_n") - 1) * F.col("p")
+    pos = F.lit(1.0) + (F.col("_n") - 1) * F.col("_p")
     first = F.col("_upto") - F.col("_c") + 1
 
-    def at(rank: Column) -> Column:
+    def at_rank(rank: Column) -> Column:
         return F.max(F.when((first <= rank) & (rank <= F.col("_upto")), F.col("_v")))
 
-    picked = counted.groupBy(*by, "p", "_n").agg(at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"))
+    picked = counted.groupBy(*keys, "_p", "_n").agg(at_rank(F.floor(pos)).alias("_a"), at_rank(F.ceil(pos)).alias("_b"))
     frac = pos - F.floor(pos)
-    out = [c for c in by if c != "_all"]
-    return picked.select(*out, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
+    return picked.select(
+        *[F.col(k).alias(b) for b, k in zip(by, keys) if b != "_all"], F.col("_p").alias("p"),
+        (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
 
 
 def bandwidth(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

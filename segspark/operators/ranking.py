@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segspark.session import scratch_dir
+
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group.
@@ -68,41 +70,23 @@ def layout_mismatches(layout: DataFrame, file_keys: Sequence[str], order: Sequen
 
 
 def dense_row_id(df: DataFrame, key: str, out: str = "id", buckets: int | None = None) -> DataFrame:
-    """``1..n`` in the order of a unique key, without a window over the whole table.
+    """``1..n`` in the order of a unique key, null first, without a window over the whole table.
 
-    Rows are cut into key ranges, numbered inside each range, and shifted by the number of
-    rows in the ranges before it. The range edges come from a sample of bounded size; they
-    only balance the work, any edges give the same ids. Without ``buckets`` a range holds about a million rows.
+    Spark cuts the rows into ranges of the key; they are written once to the shared folder with the number of
+    their range, numbered inside it, and shifted by the rows of the ranges before. The borders of the ranges only
+    balance the work, any borders give the same ids. ``buckets`` sets the number of ranges, else it is the session's
+    number of shuffle partitions.
     """
-    n = df.count()
-    buckets = buckets or max(16, -(-n // 1_000_000))
-    fraction = min(1.0, 20.0 * buckets / n) if n else 1.0
-    known = df.select(key).where(F.col(key).isNotNull())
-    sample = sorted(r[0] for r in known.sample(False, fraction, 7).collect())
-    step = max(1, len(sample) // buckets)
-    edges = sorted(set(sample[step::step]))[:buckets]
-    rows = df.withColumn("_part", F.coalesce(_range_of(F.col(key), edges), F.lit(0)))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    order = F.col(key).asc_nulls_first()
+    ranged = df.repartitionByRange(buckets, order) if buckets else df.repartitionByRange(order)
+    path = scratch_dir(spark, "ranges")
+    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
     # One row per range reaches this window.
-    w_all = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first())
-    numbered = rows.withColumn("_rn", F.row_number().over(w))
-    joined = numbered.join(offsets, "_part")
-    return joined.withColumn(out, (F.col("_rn") + F.col("_off")).cast("long")).drop("_part", "_rn", "_off")
-
-
-def _range_of(key: Column, edges: Sequence, fan: int = 16) -> Column:
-    """Number of sorted edges at or below the key, looked up in two steps of ``fan``."""
-    if not edges:
-        return F.lit(0)
-    blocks = [list(edges[i:i + fan]) for i in range(0, len(edges), fan)]
-
-    def reached(values: Column) -> Column:
-        return F.size(F.filter(values, lambda e: e <= key))
-
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    tails = F.array(*[F.array(*[F.lit(e) for e in b]) for b in blocks])
-    block = reached(heads)
-    inside = F.when(block > 0, reached(F.element_at(tails, F.greatest(block, F.lit(1))))).otherwise(0)
-    return F.when(key.isNotNull(), F.greatest(block - 1, F.lit(0)) * fan + inside)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    joined = numbered.join(offsets, F.col("_part") == F.col("_of"))
+    return joined.withColumn(out, (F.col("_rn") + F.col("_off")).cast("long")).select(*df.columns, out)

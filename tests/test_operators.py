@@ -100,12 +100,13 @@ def test_layout(spark):
 # --- distribution ---
 
 
-def test_quantiles_large_and_small_groups(spark):
+@pytest.mark.parametrize("limit", [20, 1_000, 100_000])
+def test_quantiles_large_and_small_groups(spark, limit):
     rng = np.random.default_rng(1)
     rows = [("big", float(x)) for x in rng.normal(size=30_000).round(3)] + [("small", float(x)) for x in [3, 1, 2, 10]] + [("one", 5.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.k, r.p): r.quantile for r in distribution.exact_quantiles(df, ["k"], "v", probs, accuracy=1000).collect()}
+    got = {(r.k, r.p): r.quantile for r in distribution.exact_quantiles(df, ["k"], "v", probs, limit=limit).collect()}
     for k in ("big", "small", "one"):
         v = [x for kk, x in rows if kk == k]
         for p in probs:
@@ -115,11 +116,32 @@ def test_quantiles_large_and_small_groups(spark):
 def test_quantiles_with_a_dominating_value(spark):
     rows = [(5.0,)] * 20_000 + [(float(i),) for i in range(10_000)]
     df = spark.createDataFrame(rows, "v double")
-    got = {r.p: r.quantile for r in distribution.exact_quantiles(df, [], "v", [0.1, 0.5, 0.8], accuracy=500).collect()}
+    got = {r.p: r.quantile for r in distribution.exact_quantiles(df, [], "v", [0.1, 0.5, 0.8], limit=100).collect()}
     for p, q in got.items():
         assert q == pytest.approx(np.quantile([r[0] for r in rows], p))
 
 
+@pytest.mark.parametrize("limit", [50, 2_000])
+def test_brackets_hold_few_rows_whatever_the_distribution(spark, limit):
+    # One group of all rows; values over 600 decades, so that no cut by value would balance them.
+    rng = np.random.default_rng(5)
+    v = np.exp(rng.uniform(-690, 690, 40_000))
+    df = spark.createDataFrame([(1, float(x)) for x in v], "k int, _x double").repartition(8)
+    probs = [0.0, 0.001, 0.37, 0.5, 1.0]
+    for r in distribution.quantile_brackets(df, ["k"], probs, limit).collect():
+        inside = ((v >= r._lo) & (v <= r._hi)).sum()
+        assert r._lo <= np.quantile(v, r._p, method="lower") and np.quantile(v, r._p, method="higher") <= r._hi
+        assert 1 <= inside <= limit, (r, inside)
+    got = {r.p: r.quantile for r in distribution.exact_quantiles(df, ["k"], "_x", probs, limit).collect()}
+    assert all(got[p] == pytest.approx(np.quantile(v, p), rel=1e-12) for p in probs)
+
+
+def test_quantiles_of_null_keys_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)], "k string, v double")
+    assert {r.k: r.quantile for r in distribution.exact_quantiles(df, ["k"], "v", [0.5]).collect()} == {None: 2.0, "b": 2.0}
+    assert distribution.exact_quantiles(df.where("false"), ["k"], "v", [0.5]).count() == 0
+
+
 def test_density_close_to_direct_sum(spark):
     rng = np.random.default_rng(2)
     x = rng.gamma(2.0, size=2_000)
