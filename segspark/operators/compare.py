@@ -41,19 +41,31 @@ def change_from_baseline(base: DataFrame, later: DataFrame, keys: Sequence[str],
                          sources: Sequence[str] = ("DP", "CENSUS")) -> DataFrame:
     """Change of every measure since a one-source baseline, as each later source shows it.
 
-    Both tables are stacked and meet in one aggregate; a column per later source.
+    Both tables are stacked and meet in one aggregate; a column per later source. Where both years come from one
+    table, ``change_between_years`` plans it once.
     """
-    long = lambda df: to_long(df, [*keys, "name"], list(measures), "metric", "value")
-    both = long(base).withColumn("_y", F.lit(base_year)).unionByName(
-        long(later).withColumn("_y", F.lit(later_year)))
-    at_base = F.max(F.when(F.col("_y") == base_year, F.col("value")))
-    n_base = F.count(F.when(F.col("_y") == base_year, 1))
+    both = base.withColumn("_y", F.lit(base_year)).unionByName(later.withColumn("_y", F.lit(later_year)), allowMissingColumns=True)
+    return change_between_years(both, "_y", keys, measures, base_year, later_year, sources)
+
+
+def change_between_years(df: DataFrame, year: str, keys: Sequence[str], measures: Sequence[str],
+                         base_year: int, later_year: int, sources: Sequence[str] = ("DP", "CENSUS"),
+                         base_source: str | None = None) -> DataFrame:
+    """As ``change_from_baseline``, from one table of both years: read and planned once, one aggregate.
+
+    ``base_source`` names the source (column ``name``) of the first year; None takes the year's only one.
+    """
+    long = to_long(df, [year, *keys, "name"], list(measures), "metric", "value")
+    first = F.col(year) == base_year
+    if base_source is not None:
+        first = first & (F.col("name") == base_source)
+    at_base, n_base = F.max(F.when(first, F.col("value"))), F.count(F.when(first, 1))
     cols, counts = [], []
     for s in sources:
-        mine = (F.col("_y") == later_year) & (F.col("name") == s)
+        mine = (F.col(year) == later_year) & (F.col("name") == s)
         cols.append((F.max(F.when(mine, F.col("value"))) - at_base).alias(s))
         counts.append(F.count(F.when(mine, 1)))
-    rows = both.groupBy(*keys, "metric").agg(*cols, n_base.alias("_n0"), counts[0].alias("_n1"))
+    rows = long.groupBy(*keys, "metric").agg(*cols, n_base.alias("_n0"), counts[0].alias("_n1"))
     # As with a left join, the first source decides which rows exist.
     return rows.where((F.col("_n0") > 0) & (F.col("_n1") > 0)).drop("_n0", "_n1")
 

@@ -141,3 +141,80 @@ def q_materialize(spark, sf):
 
     sources.materialize(spark, path, build)
     return sources.materialize(spark, path, build)
+
+
+# --- levels, restarts and audits ----------------------------------------------------------------
+
+# The summary levels of the extract (county, tract, block group, block).
+LEVELS_SQL = f"""with {CELL}, lv as (
+select cbsa state, '050' sumlev, cast(tract as varchar) unit, race, census, dp from cell
+union all select cbsa, '140', blkgrp, race, census, dp from cell
+union all select cbsa, '150', concat(blkgrp, '-', cast(block % 9 as varchar)), race, census, dp from cell
+union all select cbsa, '750', cast(block as varchar), race, census, dp from cell),
+levels as (select state, sumlev, unit, race, cast(sum(census) as bigint) census, cast(sum(dp) as bigint) dp from lv group by all)"""
+
+
+def levels_schema() -> T.StructType:
+    return T.StructType.fromDDL("unit string, race string, census long, dp long, state string, sumlev string")
+
+
+def summary_levels(cells):
+    """All four levels of the cells given, one row per level, unit and group; one shuffle, with partial sums before it."""
+    text = lambda c: F.col(c).cast("string")
+    units = {"050": text("tract"), "140": F.col("blkgrp"),
+             "150": F.concat_ws("-", "blkgrp", (F.col("block") % 9).cast("string")), "750": text("block")}
+    each = F.array(*[F.struct(F.lit(level).alias("sumlev"), unit.alias("unit")) for level, unit in units.items()])
+    rows = cells.select(F.col("cbsa").alias("state"), "race", "census", "dp", F.inline(each))
+    return rows.groupBy("state", "sumlev", "unit", "race").agg(F.sum("census").alias("census"), F.sum("dp").alias("dp"))
+
+
+@query("summary_level_sink", f"{LEVELS_SQL} select state, sumlev, unit, race, census, dp from levels")
+def q_level_sink(spark, sf):
+    """The four summary levels of the extract, one folder per state and level."""
+    path = scratch_dir(spark, "four-levels")
+    sources.write_partitioned(summary_levels(cell(spark, sf)), path, ["state", "sumlev"])
+    return sources.read_partitioned(spark, path, levels_schema())
+
+
+@query("scope_join_pruned", f"""{LEVELS_SQL} select state, n_name, unit, race, census, dp from levels join nation on unit = cast(n_nationkey as varchar)
+ join region on n_regionkey = r_regionkey and r_name = state where sumlev = '050' and r_regionkey % 2 = 1""")
+def q_scope_pruned(spark, sf):
+    """Counties of the states in a scope: only those states' folders of one level are opened."""
+    path = scratch_dir(spark, "four-levels")
+    sources.write_partitioned(summary_levels(cell(spark, sf)), path, ["state", "sumlev"])
+    return scope_rows(spark, sf, sources.read_partitioned(spark, path, levels_schema()))
+
+
+def scope_rows(spark, sf, levels):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region").where(F.col("r_regionkey") % 2 == 1)
+    scope = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("r_name").alias("state"), F.col("n_nationkey").cast("string").alias("unit"), "n_name")
+    return levels.where(F.col("sumlev") == "050").join(scope, ["state", "unit"]).select("state", "n_name", "unit", "race", "census", "dp")
+
+
+@query("build_by_state", f"{LEVELS_SQL} select state, sumlev, unit, race, census, dp from levels")
+def q_build_by_state(spark, sf):
+    """Levels built in two calls: the second wants all states and builds only those that the first has not."""
+    path = scratch_dir(spark, "by-state")
+    states = table(spark, sf, "region").select(F.col("r_name").alias("state"), "r_regionkey")
+
+    def build(missing):
+        cells = cell(spark, sf)
+        return summary_levels(cells.join(missing, cells.cbsa == missing.state, "left_semi"))
+
+    for wanted in (states.where(F.col("r_regionkey") < 2), states):
+        out = sources.build_missing(spark, path, wanted, ["state"], levels_schema(), build)
+    return out
+
+
+@query("audited_sink", f"""with {CELL}, a as (select count(*) n_rows, count(*) filter (census = 0 and dp = 0) both_zero, count(*) filter (census = 0 and dp > 0) erased,
+ count(*) filter (abs(census - dp) > 1) far_apart, count(*) filter (block is null or race is null) no_key from cell)
+select unnest(['rows', 'both_zero', 'erased', 'far_apart', 'no_key']) as "check", unnest([n_rows, both_zero, erased, far_apart, no_key]) n from a""")
+def q_audited(spark, sf):
+    """Failing rows of each check, counted while the cells are written."""
+    census, dp = F.col("census"), F.col("dp")
+    counts = sources.write_audited(
+        cell(spark, sf).select("cbsa", "tract", "block", "race", "census", "dp"), scratch_dir(spark, "audited"),
+        {"both_zero": (census == 0) & (dp == 0), "erased": (census == 0) & (dp > 0), "far_apart": F.abs(census - dp) > 1,
+         "no_key": F.col("block").isNull() | F.col("race").isNull()})
+    return spark.createDataFrame(list(counts.items()), "check string, n long")

@@ -368,22 +368,20 @@ def q_age_type_means(spark, sf):
 
 # --- baseline year --------------------------------------------------------------------------
 
-def year_cells(spark, sf, year: int):
-    cells = cell_year(spark, sf).where(F.col("yr") == year)
-    return relate.assign_place(cells, unit_place(spark, sf), "blkgrp", "name_full")
+def year_cells(spark, sf):
+    """Cells of all years with the place of their unit; the year is a part of the scope."""
+    return relate.assign_place(cell_year(spark, sf), unit_place(spark, sf), "blkgrp", "name_full")
 
 
-def year_nested(spark, sf, year: int):
-    sources = {"CENSUS": "census"} if year == 2000 else SOURCES
-    h = theil.Hierarchy(scope=["cbsa"], leaf=["tract", "blkgrp"], group="race", sources=sources)
-    out = theil.nested_levels(year_cells(spark, sf, year), h, LEVELS, FOUR, CENTER)
-    return theil.with_increments(out, ["cbsa", "name"], ORDER)
+def year_nested(spark, sf):
+    h = theil.Hierarchy(scope=["yr", "cbsa"], leaf=["tract", "blkgrp"], group="race", sources=SOURCES)
+    out = theil.nested_levels(year_cells(spark, sf), h, LEVELS, FOUR, CENTER)
+    return theil.with_increments(out, ["yr", "cbsa", "name"], ORDER)
 
 
-def year_flat(spark, sf, year: int):
-    sources = {"CENSUS": "census"} if year == 2000 else SOURCES
-    h = theil.Hierarchy(scope=["cbsa"], mid="tract", leaf=["blkgrp"], group="race", sources=sources)
-    return theil.decompose(year_cells(spark, sf, year), h, FOUR, focal=FOCAL)
+def year_flat(spark, sf):
+    h = theil.Hierarchy(scope=["yr", "cbsa"], mid="tract", leaf=["blkgrp"], group="race", sources=SOURCES)
+    return theil.decompose(year_cells(spark, sf), h, FOUR, focal=FOCAL)
 
 
 YEAR_PLACED = f"""{CELL_YEAR}, {UNIT_PLACE}, ypl as (
@@ -412,7 +410,8 @@ YEAR_NESTED = f"""{YEAR_PLACED}, {year_long()}, ynl as (
 @query("baseline_decomposition", f"""with {YEAR_NESTED}
 select cbsa, center, "Level", "name", {rounded(GEO_COLS)} from geo where yr = 2000""")
 def q_baseline(spark, sf):
-    return rounded_cols(year_nested(spark, sf, 2000), [*CORE, "seg_explained"])
+    out = year_nested(spark, sf).where((F.col("yr") == 2000) & (F.col("name") == "CENSUS")).drop("yr")
+    return rounded_cols(out, [*CORE, "seg_explained"])
 
 
 MEAS = "Hw, H, totalE, Hb, Pb, Hbg, Pbg"
@@ -426,9 +425,9 @@ YEAR_CHANGE = f"""{YEAR_PLACED}, {year_long()}, {focal_sql('ylong', keys='yr, cb
 
 
 def year_change(spark, sf):
-    from segspark.operators.compare import MEASURES, change_from_baseline
+    from segspark.operators.compare import MEASURES, change_between_years
 
-    return change_from_baseline(year_flat(spark, sf, 2000), year_flat(spark, sf, 2010), ["cbsa"], MEASURES, 2000, 2010)
+    return change_between_years(year_flat(spark, sf), "yr", ["cbsa"], MEASURES, 2000, 2010, base_source="CENSUS")
 
 
 @query("change_from_baseline", f"""with {YEAR_CHANGE} select cbsa, metric, {rounded('DP, CENSUS')} from chg""")
@@ -455,12 +454,10 @@ from st a join types t on a.cbsa = t.cbsa
  left join st c on a.cbsa = c.cbsa and a."Level" = c."Level" and c.yr = 2010 and c."name" = 'CENSUS'
 where a.yr = 2000""")
 def q_level_change(spark, sf):
-    from segspark.operators.compare import change_from_baseline
-
-    def stack(year):
-        geo = year_nested(spark, sf, year).where(F.col("Level") != "Tract")
-        return theil.with_residual(geo, "Place", "Block Group", STACK_COLS)
+    from segspark.operators.compare import change_between_years
 
-    out = change_from_baseline(stack(2000), stack(2010), ["cbsa", "Level"], ["seg_explained"], 2000, 2010).drop("metric")
+    geo = year_nested(spark, sf).where(F.col("Level") != "Tract")
+    stack = theil.with_residual(geo, "Place", "Block Group", ["yr", *STACK_COLS])
+    out = change_between_years(stack, "yr", ["cbsa", "Level"], ["seg_explained"], 2000, 2010, base_source="CENSUS").drop("metric")
     typed = relate.attach_distinct(out, crosswalk(spark, sf), ["cbsa"], ["type"])
     return rounded_cols(typed, ["DP", "CENSUS"])

@@ -178,6 +178,16 @@ def q_local_tract(spark, sf):
     return rounded_cols(out, ["CENSUS", "DP"])
 
 
+@query("local_entropy_long", f"""with {local_sql('tract, block')} select * from (
+ select tract, block, 'CENSUS' as "name", round("CENSUS", 6) + 0.0 as "value" from le where not ("CENSUS" = 0 and "DP" = 0)
+ union all select tract, block, 'DP', round("DP", 6) + 0.0 from le where not ("CENSUS" = 0 and "DP" = 0))""")
+def q_local_long(spark, sf):
+    """One row per unit and source, without units that are of one group under both."""
+    out = compare.local_entropy(cell(spark, sf), ["tract", "block"], "race", FOUR, SOURCES)
+    some = out.where((F.col("CENSUS") != 0) | (F.col("DP") != 0))
+    return rounded_cols(reshape.to_long(some, ["tract", "block"], ["CENSUS", "DP"]), ["value"])
+
+
 POINTS, MASS = 512, 1024
 
 

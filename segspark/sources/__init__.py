@@ -1,3 +1,4 @@
+from segspark.sources.build import build_missing, write_audited
 from segspark.sources.files import (
     Field,
     is_complete,
@@ -18,6 +19,7 @@ from segspark.sources.files import (
 
 __all__ = [
     "Field",
+    "build_missing",
     "is_complete",
     "layout_fields",
     "materialize",
@@ -29,6 +31,7 @@ __all__ = [
     "read_partitioned",
     "schema_from_codes",
     "with_labels",
+    "write_audited",
     "write_csv",
     "write_fixed_width",
     "write_partitioned",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,9 +122,14 @@ def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True once a write to ``path`` has been committed."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    try:
+        # Planning alone looks for the file; nothing is read.
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS").schema  # noqa: B018
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

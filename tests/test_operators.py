@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segspark import sources
 from segspark.functions import equal_width_bin, finite_or, invert, replace_first, right_closed_bin, strict_sum
@@ -410,6 +411,53 @@ def test_materialize_builds_once_and_replaces_an_unfinished_write(spark):
     assert sources.materialize(spark, path, build).count() == 3 and len(calls) == 1
 
 
+def test_only_missing_keys_are_built(spark):
+    path, calls = scratch_dir(spark, "b"), []
+    schema = T.StructType.fromDDL("v long, k string")
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c")], schema)
+
+    def build(missing):
+        calls.append(sorted((r.k for r in missing.collect()), key=str))
+        return rows.join(missing.toDF("w"), F.col("k").eqNullSafe(F.col("w")), "left_semi")
+
+    want = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    have = lambda *keys: sorted(r.v for r in sources.build_missing(spark, path, want(*keys), ["k"], schema, build).collect())
+    assert have() == [] and calls == []
+    assert have("a", "a", "no rows") == [1, 2] and have("a", "no rows") == [1, 2] and calls == [["a", "no rows"]]
+    # A killed write: rows of "b" and of the null key are there, but their keys are not in the list.
+    spark.createDataFrame([(9, "b"), (9, None)], schema).write.mode("append").partitionBy("k").parquet(f"{path}/data")
+    assert have("a") == [1, 2] and len(calls) == 1
+    assert have("a", "b", None) == [1, 2, 3, 4] and calls[1:] == [[None, "b"]]
+    # A build that fails leaves what was there.
+    def fails(missing):
+        return rows.where("k = 'c'").withColumn("v", F.raise_error(F.lit("lost")).cast("long"))
+
+    with pytest.raises(PySparkException):
+        sources.build_missing(spark, path, want("c"), ["k"], schema, fails)
+    assert have("a") == [1, 2, 3, 4] and have("c") == [1, 2, 3, 4, 5]
+
+
+def test_audit_counts_in_the_pass_of_the_write(spark):
+    df = spark.range(0, 1000, 1, 7).withColumn("v", F.when(F.col("id") % 10 != 0, F.col("id")))
+    path = scratch_dir(spark, "aud")
+    got = sources.write_audited(df, path, {"odd": F.col("v") % 2 == 1, "none": F.col("v").isNull()})
+    assert got == {"rows": 1000, "odd": 500, "none": 100} and spark.read.parquet(path).count() == 1000
+    assert sources.write_audited(df.where("false"), path, {"odd": F.col("v") % 2 == 1}) == {"rows": 0, "odd": 0}
+    with pytest.raises(ValueError):
+        sources.write_audited(df, path, {"rows": F.lit(True)})
+
+
+def test_scope_opens_only_its_folders(spark):
+    from segspark.plans import scans
+    from segspark.plans.inputs import cell
+
+    path, sf = scratch_dir(spark, "p"), "/root/testdata/sf0.001"
+    sources.write_partitioned(scans.summary_levels(cell(spark, sf)), path, ["state", "sumlev"])
+    df = scans.scope_rows(spark, sf, sources.read_partitioned(spark, path, scans.levels_schema()))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "sumlev#" in plan.split("PartitionFilters", 1)[1]
+
+
 def test_type_codes_must_match_names():
     with pytest.raises(ValueError):
         sources.schema_from_codes(["a", "b"], "c")
