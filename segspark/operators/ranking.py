@@ -34,12 +34,17 @@ def max_with_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.join(best, same, "left_semi")
 
 
-def share_of_total(df: DataFrame, keys: Sequence[str], shares: dict[str, str]) -> DataFrame:
+def share_of_total(df: DataFrame, keys: Sequence[str], shares: dict[str, str], small_groups: bool = False) -> DataFrame:
     """``{new column: value column}``: each value over the sum of its group.
 
     Totals are aggregated with map-side sums and joined back, instead of a window that would
-    put a whole group into one task.
+    put a whole group into one task. ``small_groups`` says that no group is large, as where ``keys`` name a leaf and its
+    rows are its groups of people: then a window, which reads the input once.
     """
+    if small_groups:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({
+            o: F.try_divide(F.col(v).cast("double"), F.sum(v).over(w).cast("double")) for o, v in shares.items()})
     totals = df.groupBy(*keys).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in shares.items()])
     left, right = df.alias("_l"), totals.alias("_r")
     cond = None

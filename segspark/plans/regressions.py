@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segspark.functions import tidy
-from segspark.operators import compare, models, relate, theil
+from segspark.operators import compare, factored, models, relate, theil
 from segspark.plans.inputs import CELL, CROSSWALK, FOCAL, FOUR, SOURCES, cell, crosswalk, rounded
 from segspark.plans.registry import query
 from segspark.plans.segregation import FOUR_SQL, focal_sql, rounded_cols
@@ -187,7 +187,15 @@ def q_bic_pbg(spark, sf):
     return bic_rows(spark, sf, "Pbg")
 
 
-def all_fits(spark, sf):
+@query("ols_coefficients_factored", f"""select model, term, n, {', '.join(f'round({c}, 5) + 0.0 as {c}' for c in FIT_COLS)}
+ from ({FITS.replace('{fits}', fits_sql(MODEL_SQL))})""")
+def q_ols_factored(spark, sf):
+    """The same tables by merged triangular factors, as a ratio and its square stand in one model."""
+    fits = all_fits(spark, sf, factored.ols_factored)
+    return fits.select("model", "term", "n", *[tidy(F.col(c), 5).alias(c) for c in FIT_COLS])
+
+
+def all_fits(spark, sf, fit=models.ols_models):
     pop, blocks = {"log_pop": F.ln("total_pop")}, {"log_blocks": F.ln("block_count")}
     kind = models.contrasts("type", ["Metropolitan", "Micropolitan"])
     h, size = F.col("H"), F.abs("H")
@@ -198,7 +206,7 @@ def all_fits(spark, sf):
         f"{response} ~ {label}": (F.col(response), terms)
         for response in ("H", "Pbg") for label, terms in model_terms().items()
     }
-    return models.ols_models(model_frame(spark, sf), jobs)
+    return fit(model_frame(spark, sf), jobs)
 
 
 @query("ols_factor", f"""with {FRAME}, m as (select "type" ty, avg("H") m, count("H") n from frame group by all), b as (select min(ty) ty0, arg_min(m, ty) m0 from m)

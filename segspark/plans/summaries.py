@@ -125,7 +125,7 @@ ERASED = f"""{CELL}, t as (select tract, block, sum(census) tot from cell group
 
 def erased_shares(spark, sf):
     """Share that the emptied cells had in their unit."""
-    shared = ranking.share_of_total(cell(spark, sf), ["tract", "block"], {"p": "census"})
+    shared = ranking.share_of_total(cell(spark, sf), ["tract", "block"], {"p": "census"}, small_groups=True)
     return shared.where(compare.erased(F.col("census"), F.col("dp")))
 
 
@@ -225,7 +225,7 @@ def q_quantiles(spark, sf):
 
 @query("win_share", f"""with {CELL} select tract, block, race, round(census / nullif(sum(census) over (partition by tract, block), 0)::double, 6) + 0.0 as share from cell""")
 def q_share(spark, sf):
-    out = ranking.share_of_total(cell(spark, sf), ["tract", "block"], {"share": "census"})
+    out = ranking.share_of_total(cell(spark, sf), ["tract", "block"], {"share": "census"}, small_groups=True)
     return out.select("tract", "block", "race", tidy(F.col("share")).alias("share"))
 
 

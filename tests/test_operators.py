@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from segspark import sources
 from segspark.functions import equal_width_bin, finite_or, invert, replace_first, right_closed_bin, strict_sum
-from segspark.operators import compare, distribution, models, permute, ranking, relate, reshape, shapes, spatial
+from segspark.operators import compare, distribution, factored, models, permute, ranking, relate, reshape, shapes, spatial
 from segspark.session import scratch_dir
 
 
@@ -54,6 +54,13 @@ def test_membership_is_never_null(spark):
     assert sorted((r.k or 0, r.f) for r in got) == [(0, "0"), (1, "1"), (2, "0")]
 
 
+def test_share_of_total_by_window_and_by_join(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), (None, 2), ("b", 0), ("b", None)], "k string, v long")
+    by_join, by_window = (sorted(ranking.share_of_total(df, ["k"], {"p": "v"}, s).collect(), key=str) for s in (False, True))
+    assert by_join == by_window
+    assert {(r.k, r.v): r.p for r in by_window} == {("a", 1): 0.25, ("a", 3): 0.75, (None, 2): 1.0, ("b", 0): None, ("b", None): None}
+
+
 def test_share_of_total_with_null_keys_and_hot_group(spark):
     df = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"),
@@ -378,6 +385,49 @@ def test_ols_against_numpy(spark):
     assert got["x1"].bic == pytest.approx(bic, rel=1e-9)
 
 
+def test_factored_fit_keeps_digits_of_powers(spark):
+    # Powers 0 to 5 of 0..20: the response is their plain sum, or a sum with falling weights, so all coefficients are known.
+    x = F.col("id").cast("double")
+    terms = {f"x{i}": F.pow(x, F.lit(float(i))) for i in range(1, 6)}
+    plain = sum(terms.values(), F.lit(1.0))
+    falling = sum((c * 10.0 ** -(i + 1) for i, c in enumerate(terms.values())), F.lit(1.0))
+    for parts in (1, 7, 40):
+        df = spark.range(0, 21, 1, parts)
+        got = {(r.model, r.term): r.estimate for r in factored.ols_factored(df, {"plain": (plain, terms), "falling": (falling, terms)}).collect()}
+        for i, t in enumerate(["(Intercept)", *terms]):
+            assert got[("plain", t)] == pytest.approx(1.0, rel=1e-8)
+            assert got[("falling", t)] == pytest.approx(10.0**-i, rel=1e-8)
+
+
+def test_factored_fit_against_numpy_with_aliases_and_unusable_rows(spark):
+    rng = np.random.default_rng(8)
+    x1, x2 = rng.normal(size=300) + 1e6, rng.exponential(size=300)
+    y = 3 - 0.5 * x1 + 2 * x2 + rng.normal(size=300)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(y, x1, x2)] + [(1.0, None, 2.0), (float("inf"), 1.0, 1.0), (float("nan"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "y double, x1 double, x2 double").repartition(6)
+    a, b = F.col("x1"), F.col("x2")
+    fits = {"m": (F.col("y"), {"x1": a, "twice": 2 * a, "x2": b}), "none": (F.lit(None).cast("double"), {"x1": a})}
+    got = {(r.model, r.term): r for r in factored.ols_factored(df, fits).collect()}
+    X = np.column_stack([np.ones(300), x1 - 1e6, x2])
+    beta, rss, *_ = np.linalg.lstsq(X, y, rcond=None)
+    cov = rss[0] / 297 * np.linalg.inv(X.T @ X)
+    assert got[("m", "x1")].estimate == pytest.approx(beta[1], rel=1e-7) and got[("m", "x2")].estimate == pytest.approx(beta[2], rel=1e-9)
+    assert got[("m", "x2")].std_error == pytest.approx(math.sqrt(cov[2, 2]), rel=1e-7)
+    assert got[("m", "(Intercept)")].estimate == pytest.approx(beta[0] - beta[1] * 1e6, rel=1e-7)
+    assert got[("m", "twice")].estimate is None and got[("m", "x1")].n == 300 and got[("m", "x1")].rss == pytest.approx(rss[0], rel=1e-7)
+    assert got[("none", "x1")].estimate is None and got[("none", "x1")].n == 0
+    assert {r.n for r in factored.ols_factored(df.where("false"), fits).collect()} <= {0}
+
+
+def test_stored_factors_of_two_halves_merge_to_the_whole(spark):
+    df = spark.range(0, 1000, 1, 8).select(F.col("id").cast("double").alias("x"), F.sin("id").alias("y"))
+    job = {"m": (F.col("y"), {"x": F.col("x"), "xx": F.col("x") * F.col("x")})}
+    halves = [factored.model_factors(df.where(c), job) for c in ("x < 400", "x >= 400")]
+    whole, merged = (factored.merge_factors(f, 1).first() for f in (factored.model_factors(df, job), halves[0].unionByName(halves[1])))
+    assert merged.n == whole.n == 1000
+    assert np.allclose(np.abs(merged.factor), np.abs(whole.factor), rtol=1e-9, atol=1e-6)
+
+
 def test_t_distribution():
     # Known two-sided probabilities: t = 12.706 at 1, 2.228 at 10 and 1.984 at 100 degrees are 5 percent.
     for t, dof in ((12.7062, 1), (2.22814, 10), (1.98397, 100)):
