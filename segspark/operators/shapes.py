@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.operators.spatial import ring_edges
+from segspark.session import scratch_dir
 
 #: Slabs and trapezoids thinner than this, relative to the coordinates, are rounding errors of crossings.
 THIN = 1e-12
@@ -41,8 +42,8 @@ def shape_area(shape: Column) -> Column:
 
 
 def with_shape_bounds(df: DataFrame, shape: str = "shape") -> DataFrame:
-    """Bounding box columns x0, y0, x1, y1 of a shape."""
-    points = F.flatten(directed_rings(F.col(shape)))
+    """Bounding box columns x0, y0, x1, y1 of all rings of a shape."""
+    points = F.flatten(F.flatten(F.col(shape)))
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return df.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
 
@@ -81,20 +82,23 @@ def overlay_pieces(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id
     # Edges beside the common range of x, or above the lower of the two tops, bound no common area.
     useful = (F.col("_xl") < F.col("_to")) & (F.col("_xr") > F.col("_from")) & (F.least("_yl", "_yr") <= F.col("_top"))
     ends = ["_xl", "_xr", "_yl", "_yr"]
-    ea, eb = (reached.join(e, [key, "_strip"]).where(useful).select(a_id, b_id, "_strip", "_from", "_to", "_s", *ends)
-              for e, key in zip(edges, (a_id, b_id)))
-    of = [a_id, b_id, "_strip"]
-
-    left = ea.select(*of, *[F.col(c).alias("_a" + c) for c in ends])
-    right = eb.select(*of, *[F.col(c).alias("_b" + c) for c in ends])
+    of, held = [a_id, b_id, "_strip"], [a_id, b_id, "_strip", "_from", "_to", "_in_a", "_in_b", *ends]
+    zero = F.lit(0.0)
+    both = reached.join(edges[0], [a_id, "_strip"]).where(useful).withColumns({"_in_a": F.col("_s"), "_in_b": zero}).select(*held).unionByName(
+        reached.join(edges[1], [b_id, "_strip"]).where(useful).withColumns({"_in_a": zero, "_in_b": F.col("_s")}).select(*held))
+    # Written once: ends, crossings and slabs all start from these edges.
+    path = scratch_dir(pairs.sparkSession, "edges")
+    both.write.parquet(path)
+    both = pairs.sparkSession.read.schema(both.schema).parquet(path)
+
+    left = both.where("_in_a <> 0").select(*of, *[F.col(c).alias("_a" + c) for c in ends])
+    right = both.where("_in_b <> 0").select(*of, *[F.col(c).alias("_b" + c) for c in ends])
     l, r = F.greatest("_a_xl", "_b_xl"), F.least("_a_xr", "_b_xr")
     gap = lambda x: _y_at(x, *[F.col("_a" + c) for c in ends]) - _y_at(x, *[F.col("_b" + c) for c in ends])
     crossed = left.join(right, of).where(l < r).select(*of, l.alias("_l"), r.alias("_r"), gap(l).alias("_gl"), gap(r).alias("_gr"))
     crossed = crossed.where(F.col("_gl") * F.col("_gr") < 0).select(
         *of, (F.col("_l") + (F.col("_r") - F.col("_l")) * F.col("_gl") / (F.col("_gl") - F.col("_gr"))).alias("_x"))
 
-    both = ea.withColumn("_in_a", F.col("_s")).withColumn("_in_b", F.lit(0.0)).unionByName(
-        eb.withColumn("_in_a", F.lit(0.0)).withColumn("_in_b", F.col("_s")))
     inside = lambda c: F.least(F.greatest(F.col(c), F.col("_from")), F.col("_to"))
     cuts = both.select(*of, F.explode(F.array(inside("_xl"), inside("_xr"))).alias("_x")).unionByName(crossed).distinct()
     slabs = cuts.withColumn("_next", F.lead("_x").over(Window.partitionBy(*of).orderBy("_x")))
