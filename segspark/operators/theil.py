@@ -190,26 +190,62 @@ def decompose(
     """
     if groups is None:
         return _decompose_rows(cells, h, focal, with_rest, guard_total)
+    return from_sums(mid_sums(cells, h, groups, focal, with_rest), h, groups, focal, with_rest, guard_total)
+
+
+def _sum_names(n_sources: int, focal: str | None, with_rest: bool) -> list[str]:
+    kinds = ["_leaf"] + (["_leaf2"] + (["_leafr"] if with_rest else []) if focal is not None else [])
+    return [f"{kind}{s}" for s in range(n_sources) for kind in kinds]
+
+
+def _carry(n_groups: int, n_sources: int) -> list[Column]:
+    S = range(n_sources)
+    return [F.sum(c).alias(c) for s in S for c in _cols(n_groups, s)] + [F.max(_bad(s)).alias(_bad(s)) for s in S]
+
+
+def mid_sums(
+    cells: DataFrame, h: Hierarchy, groups: Sequence[str], focal: str | None = None, with_rest: bool = False,
+    part: Sequence[str] = (),
+) -> DataFrame:
+    """One row per scope and mid (and ``part``): group totals and sums over its leaves, from which every measure follows.
+
+    Sums of disjoint sets of leaves add up to the sums of their union.
+    """
     groups = list(groups)
-    G, labels, values = len(groups), list(h.sources), list(h.sources.values())
+    G, values = len(groups), list(h.sources.values())
     fi = groups.index(focal) if focal is not None else None
-    scope, mid = h.scope_cols, [h.mid] if h.mid else []
-    leaves = leaf_vectors(cells, [*scope, *mid, *h.leaf_cols], h.group, groups, values)
-
-    S = range(len(values))
+    keys = [*part, *h.scope_cols, *([h.mid] if h.mid else [])]
+    leaves = leaf_vectors(cells, [*keys, *h.leaf_cols], h.group, groups, values)
     sums = {}
-    for s in S:
+    for s in range(len(values)):
         sums[f"_leaf{s}"] = mass_text(_cols(G, s))
         if fi is not None:
             sums[f"_leaf2{s}"] = mass_text(_two(G, s, fi))
             if with_rest:
                 sums[f"_leafr{s}"] = mass_text(_rest(G, s, fi))
-    carry = [F.sum(c).alias(c) for s in S for c in _cols(G, s)] + [F.max(_bad(s)).alias(_bad(s)) for s in S]
-    rows = leaves.groupBy(*scope, *mid).agg(*carry, *[F.expr(f"sum({e})").alias(k) for k, e in sums.items()])
-    if mid:
-        mids = [F.expr(f"sum({mass_text(_cols(G, s))})").alias(f"_mid{s}") for s in S]
-        rows = rows.groupBy(*scope).agg(*carry, *[F.sum(k).alias(k) for k in sums], *mids)
-    raw = [_raw_columns(_cols(G, s), s, f"_mid{s}" if mid else None, fi, with_rest) for s in S]
+    return leaves.groupBy(*keys).agg(*_carry(G, len(values)), *[F.expr(f"sum({e})").alias(k) for k, e in sums.items()])
+
+
+def added_sums(sums: DataFrame, h: Hierarchy, groups: Sequence[str], focal: str | None = None, with_rest: bool = False) -> DataFrame:
+    """The rows of each scope and mid added up: the sums of all leaves, whatever parts they came in."""
+    n = len(h.sources)
+    keys = [*h.scope_cols, *([h.mid] if h.mid else [])]
+    return sums.groupBy(*keys).agg(*_carry(len(groups), n), *[F.sum(k).alias(k) for k in _sum_names(n, focal, with_rest)])
+
+
+def from_sums(
+    rows: DataFrame, h: Hierarchy, groups: Sequence[str], focal: str | None = None, with_rest: bool = False,
+    guard_total: bool = False,
+) -> DataFrame:
+    """The measures of ``decompose`` from one row per scope and mid."""
+    groups = list(groups)
+    G, labels, n = len(groups), list(h.sources), len(h.sources)
+    fi = groups.index(focal) if focal is not None else None
+    scope = h.scope_cols
+    if h.mid:
+        mids = [F.expr(f"sum({mass_text(_cols(G, s))})").alias(f"_mid{s}") for s in range(n)]
+        rows = rows.groupBy(*scope).agg(*_carry(G, n), *[F.sum(k).alias(k) for k in _sum_names(n, focal, with_rest)], *mids)
+    raw = [_raw_columns(_cols(G, s), s, f"_mid{s}" if h.mid else None, fi, with_rest) for s in range(n)]
     return _measures(_stack_sources(rows, scope, labels, raw), scope, guard_total)
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segspark.functions import tidy
-from segspark.operators import relate, reshape, theil
+from segspark.operators import relate, reshape, stored, theil
 from segspark.operators.compare import type_means
 from segspark.plans.inputs import (
     BANDS, AGE_CELL, AGE_PLACE, CELL, CELL_YEAR, CROSSWALK, FOCAL, FOUR, LONG, PRIORITIES, SOURCES,
     UNIT_PLACE, age_cell, age_place, cell, cell_year, crosswalk, direct_theil, rounded, unit_place,
 )
 from segspark.plans.registry import query
+from segspark.session import scratch_dir
 
 FIVE = theil.Hierarchy(scope=["cbsa"], mid="tract", leaf=["block"], group="race", sources=SOURCES)
 ROLLED = theil.Hierarchy(scope=["cbsa"], mid="tract", leaf=["blkgrp"], group="race", sources=SOURCES)
@@ -461,3 +462,31 @@ def q_level_change(spark, sf):
     out = change_between_years(stack, "yr", ["cbsa", "Level"], ["seg_explained"], 2000, 2010, base_source="CENSUS").drop("metric")
     typed = relate.attach_distinct(out, crosswalk(spark, sf), ["cbsa"], ["type"])
     return rounded_cols(typed, ["DP", "CENSUS"])
+
+
+# --- sums that are kept -------------------------------------------------------------------------
+
+@query("theil_stored_sums", f"""with {CELL}, {LONG}, {focal_sql('long')}
+select cbsa, "name", {rounded('Hw, H, totalE, Hb, Pb, Hbg, Pbg, Hwg')} from split""")
+def q_stored(spark, sf):
+    """Blocks delivered in three parts: the first call keeps the sums of one, the second adds the other two."""
+    cells = cell(spark, sf).withColumn("delivery", F.pmod(F.xxhash64("block"), F.lit(3)).cast("int"))
+    path, parts = scratch_dir(spark, "sums"), cells.select("delivery").distinct()
+    for wanted in (parts.where("delivery = 1"), parts):
+        sums = stored.stored_sums(spark, path, cells, FIVE, PRIORITIES, ["delivery"], wanted, FOCAL, with_rest=True)
+    out = stored.decompose_stored(sums, FIVE, PRIORITIES, FOCAL, with_rest=True)
+    return rounded_cols(out, [*CORE, "Hbg", "Pbg", "Hwg"])
+
+
+@query("change_from_stored_baseline", f"""with {YEAR_CHANGE} select cbsa, metric, {rounded('DP, CENSUS')} from chg""")
+def q_stored_change(spark, sf):
+    """The baseline year is kept as sums; the later year adds its own and plans nothing of the baseline again."""
+    from segspark.operators.compare import MEASURES, change_between_years
+
+    h = theil.Hierarchy(scope=["yr", "cbsa"], mid="tract", leaf=["blkgrp"], group="race", sources=SOURCES)
+    cells, path = year_cells(spark, sf), scratch_dir(spark, "year-sums")
+    years = cells.select("yr").distinct()
+    for wanted in (years.where("yr = 2000"), years):
+        sums = stored.stored_sums(spark, path, cells, h, FOUR, ["yr"], wanted, FOCAL)
+    out = stored.decompose_stored(sums, h, FOUR, FOCAL)
+    return rounded_cols(change_between_years(out, "yr", ["cbsa"], MEASURES, 2000, 2010, base_source="CENSUS"), ["DP", "CENSUS"])

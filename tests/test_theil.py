@@ -184,3 +184,48 @@ def test_labels_with_quotes(spark):
     df = long(spark, FIXTURES[3][0], groups=["it's", "b\\c"] * 4)
     r = one(theil.decompose(df, ROWS, ["it's", "b\\c"], focal="it's"))
     close(r["H"], FIXTURES[3][1]), close(r["Pbg"], 1.0)
+
+
+def test_stored_sums_of_parts_add_up_to_the_whole(spark):
+    from segspark.operators import stored
+    from segspark.session import scratch_dir
+
+    groups = ["White", "Black", "Asian"]
+    rows = long(spark, *FOCAL).withColumn("part", F.when(F.col("block") < "3", F.col("block")))
+    # A mid in two parts, one of them null; a group missing from one part; a scope that only a later part has.
+    rows = rows.where("not (part = '1' and race = 'Asian')").unionByName(
+        long(spark, [5, 1], ["White", "Black"], ["9"] * 2, ["7"] * 2, "late").withColumn("part", F.lit("3")))
+    path, read = scratch_dir(spark, "s"), []
+
+    def cut(cells, missing):
+        keys = [r.part for r in missing.collect()]
+        read.append(sorted(keys, key=str))
+        return cells.join(missing.toDF("_p"), F.col("part").eqNullSafe(F.col("_p")), "left_semi")
+
+    def have(*parts):
+        wanted = spark.createDataFrame([(p,) for p in parts], "part string")
+        sums = stored.stored_sums(spark, path, rows, ROWS, groups, ["part"], wanted, "White", True, cut)
+        out = stored.decompose_stored(sums, ROWS, groups, "White", True)
+        return {r.name: r.asDict() for r in out.collect()}
+
+    assert have() == {} and read == []
+    first = have("1")
+    assert set(first) == {"test"} and have("1") == first
+    got = have("1", "2", None, "3")
+    assert read == [["1"], ["2", "3", None]]
+    want = {r.name: r.asDict() for r in theil.decompose(rows, ROWS, groups, "White", True).collect()}
+    assert set(got) == set(want) == {"test", "late"}
+    for name in want:
+        for k, v in want[name].items():
+            assert v == got[name][k] if k == "name" else close(got[name][k], v) is None
+
+
+def test_stored_sums_without_a_cut_keep_null_parts_and_missing_counts(spark):
+    from segspark.operators import stored
+    from segspark.session import scratch_dir
+
+    rows = long(spark, [1, 2, None, 4, 5, 6, 7, 8]).withColumn("part", F.when(F.col("block") < "3", F.col("tract").cast("int")))
+    wanted = rows.select("part").distinct()
+    sums = stored.stored_sums(spark, scratch_dir(spark, "s"), rows, ROWS, ["B", "W"], ["part"], wanted)
+    got, want = one(stored.decompose_stored(sums, ROWS, ["B", "W"])), one(theil.decompose(rows, ROWS, ["B", "W"]))
+    assert got == want and got["H"] is None
