@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segspark.functions import tidy
-from segspark.operators import ranking, relate, shapes, spatial
+from segspark.operators import quadtree, ranking, relate, shapes, spatial
 from segspark.plans.inputs import METRO_BOX, PLACE_BOX, UNIT_BOX, metro_box, place_box, unit_box
 from segspark.plans.registry import query
 
@@ -210,3 +210,23 @@ def q_assign_buffered(spark, sf):
     pairs = spatial.overlay_pairs(units, places, "geoid", "place", cell=1.5, tolerance=0.25, also_on=["state"])
     best = spatial.assign_largest_overlap(pairs, "geoid", "place", "box_overlap")
     return pairs.join(best, ["geoid", "place"]).select("geoid", "place", tidy(F.col("box_overlap")).alias("area"))
+
+
+# --- without a chosen cell size -----------------------------------------------------------------
+
+
+@query("overlay_join_grown", f"""with {UNIT_BOX}, {PLACE_BOX} select geoid, place, round({OVERLAP_AREA}, 6) + 0.0 as area from unit_box u join place_box p on {OVERLAP}""")
+def q_overlay_grown(spark, sf):
+    """Overlay on a tree of cells grown from the counts of boxes."""
+    pairs = quadtree.grown_overlay_pairs(unit_box(spark, sf), place_box(spark, sf), "geoid", "place")
+    return pairs.select("geoid", "place", tidy(F.col("box_overlap")).alias("area"))
+
+
+@query("central_place_grown", f"""with {PLACE_BOX}, {METRO_BOX}, o as (select u.metro, p.place, p.estimate from metro_box u join place_box p on {OVERLAP})
+select metro, place, estimate from (select *, row_number() over (partition by metro order by estimate desc, place) rn from o) where rn = 1""")
+def q_central_grown(spark, sf):
+    """The most populous place of each metro; large boxes against small ones on one tree."""
+    places = place_box(spark, sf)
+    pairs = quadtree.grown_overlay_pairs(metro_box(spark, sf), places, "metro", "place")
+    ranked = pairs.join(places.select("place", "estimate"), "place").select("metro", "place", "estimate")
+    return ranking.first_per_group(ranked, ["metro"], [F.col("estimate").desc(), F.col("place").asc()])

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from segspark import sources
 from segspark.functions import equal_width_bin, finite_or, invert, replace_first, right_closed_bin, strict_sum
-from segspark.operators import compare, distribution, factored, models, permute, ranking, relate, reshape, shapes, spatial
+from segspark.operators import compare, distribution, factored, models, permute, quadtree, ranking, relate, reshape, shapes, spatial
 from segspark.session import scratch_dir
 
 
@@ -346,6 +346,56 @@ def test_overlay_pairs_are_complete_and_single(spark, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def overlapping(ra, rb):
+    return {(p[0], q[0]) for p in ra for q in rb if max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4])}
+
+
+@pytest.mark.parametrize("leaf_rows, depth, hot", [(4, 6, 5), (4, 10, 20_000), (30, 1, 20_000), (1_000, 10, 20_000)])
+def test_grown_tree_finds_the_pairs_of_a_nested_loop(spark, leaf_rows, depth, hot):
+    ra, a = boxes(spark, "a", 150, 1, 60)
+    rb, b = boxes(spark, "b", 150, 2, 300)
+    pairs = quadtree.grown_overlay_pairs(a, b, "a", "b", leaf_rows=leaf_rows, depth=depth, salt=3, hot=hot)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == overlapping(ra, rb)
+
+
+def test_grown_tree_where_most_boxes_crowd_in_a_thousandth_of_the_area(spark):
+    rng = random.Random(5)
+
+    def crowd(name, n, seed_id):
+        rows = []
+        for i in range(n):
+            wide = i % 10 == 0
+            x, y = (rng.uniform(0, 1000), rng.uniform(0, 1000)) if wide else (rng.uniform(500, 530), rng.uniform(500, 530))
+            w, h = (rng.uniform(1, 30), rng.uniform(1, 30)) if wide else (rng.uniform(0.01, 0.5), rng.uniform(0.01, 0.5))
+            rows.append((i, x, y, x + w, y + h))
+        return rows, spark.createDataFrame(rows, f"{name} int, x0 double, y0 double, x1 double, y1 double")
+
+    (ra, a), (rb, b) = crowd("a", 1500, 0), crowd("b", 1500, 1)
+    # Points, lines, turned and unknown boxes are in no pair; a box over everything meets all others.
+    odd = [(9000, 510.0, 510.0, 510.0, 510.0), (9001, 505.0, 400.0, 505.0, 600.0), (9002, 520.0, 520.0, 510.0, 510.0), (9003, 0.0, 0.0, 1000.0, 1000.0)]
+    ra += odd
+    a = a.unionByName(spark.createDataFrame(odd + [(9004, None, 0.0, 1.0, 1.0), (9005, float("nan"), 0.0, 1.0, 1.0), (9006, float("-inf"), 0.0, 900.0, 900.0)], a.schema))
+    pairs = quadtree.grown_overlay_pairs(a, b, "a", "b", leaf_rows=20)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == overlapping(ra, rb)
+    fixed = spatial.overlay_pairs(a.where("a < 9004"), b, "a", "b", cell=1.0)
+    assert {(r.a, r.b) for r in fixed.collect()} == set(got)
+
+
+def test_grown_tree_with_equal_columns_buffer_and_no_rows(spark):
+    ra, a = boxes(spark, "a", 80, 3, 10)
+    rb, b = boxes(spark, "b", 80, 4, 10)
+    a, b = a.withColumn("state", F.col("a") % 3), b.withColumn("state", F.col("b") % 3)
+    got = {(r.state, r.a, r.b): r.box_overlap for r in quadtree.grown_overlay_pairs(a, b, "a", "b", 0.25, ["state"], leaf_rows=5).collect()}
+    want = {(r.state, r.a, r.b): r.box_overlap for r in spatial.overlay_pairs(a, b, "a", "b", 0.5, tolerance=0.25, also_on=["state"]).collect()}
+    assert got == want and len(got) > 50
+    for left, right in ((a.where("false"), b), (a, b.where("false")), (a.where("false"), b.where("false"))):
+        assert quadtree.grown_overlay_pairs(left, right, "a", "b").count() == 0
+    one = a.limit(1).select("a", *[F.lit(2.0).alias(c) for c in spatial.BOX])
+    assert quadtree.grown_overlay_pairs(one, one.withColumnRenamed("a", "b"), "a", "b").count() == 0
+
+
 def test_ties_of_an_assignment(spark):
     pairs = spark.createDataFrame([(1, "p", 2.0), (1, "q", 2.0), (2, "p", 1.0), (3, "q", 0.0)], "u int, place string, area double")
     keep = sorted((r.u, r.place) for r in spatial.assign_largest_overlap(pairs, "u", "place", "area").collect())
