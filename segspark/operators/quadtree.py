@@ -24,19 +24,20 @@ def _widened(df: DataFrame, key: str, also_on: Sequence[str], p: str, tolerance:
     return df.select(F.col(key), *also_on, *cols).where(whole)
 
 
-def _cells_of(p: str, depth: int) -> Column:
-    """Cells of a box at its own level and at every level above, as an array of (level, cx, cy, own).
-
-    The own level is the deepest one at which the box reaches no more than two cells either way.
-    """
-    lo_x, lo_y, hi_x, hi_y = (f"{p}{c}" for c in ("i0", "j0", "i1", "j1"))
-    extent = f"greatest({hi_x} - {lo_x}, {hi_y} - {lo_y})"
+def _own_level(p: str, depth: int) -> Column:
+    """The deepest level at which a box reaches no more than two cells either way."""
+    extent = f"greatest({p}i1 - {p}i0, {p}j1 - {p}j0)"
     steps = " ".join(f"WHEN {extent} <= {1 << (BITS * k)} THEN {depth - k}" for k in range(depth))
-    own = f"(CASE {steps} ELSE 0 END)"
-    at = lambda c: f"shiftright({c}, {BITS} * ({depth} - l))"
-    cell = f"named_struct('_level', l, '_cx', x, '_cy', y, '_own', l = {own})"
-    rows = f"transform(sequence({at(lo_y)}, {at(hi_y)}), y -> {cell})"
-    return F.expr(f"flatten(transform(sequence(0, {own}), l -> flatten(transform(sequence({at(lo_x)}, {at(hi_x)}), x -> {rows}))))")
+    return F.expr(f"CASE {steps} ELSE 0 END")
+
+
+def _cells_of(df: DataFrame, p: str, depth: int, least: int, keep: Sequence[str]) -> DataFrame:
+    """One row per cell of a box at its own level and at the levels above, down from level ``least``."""
+    at = lambda c: F.expr(f"shiftright({p}{c}, {BITS} * ({depth} - _level))")
+    spread = lambda c: F.explode(F.sequence(at(c + "0"), at(c + "1")))
+    df = df.withColumn("_level", F.explode(F.sequence(F.least(F.lit(least), p + "o"), p + "o")))
+    df = df.withColumn("_cx", spread("i")).withColumn("_cy", spread("j"))
+    return df.select(*keep, *CELL, (F.col("_level") == F.col(p + "o")).alias("_own"))
 
 
 def _grown_leaves(entries: DataFrame, leaf_rows: int, depth: int) -> DataFrame:
@@ -54,11 +55,10 @@ def _grown_leaves(entries: DataFrame, leaf_rows: int, depth: int) -> DataFrame:
 
 def _in_leaves(df: DataFrame, p: str, key: str, routes: DataFrame, least: int, depth: int, salt: int) -> DataFrame:
     """Each box once in every leaf that it reaches."""
-    box = [c for c in df.columns if c != "_e"]
-    e = df.select(*box, F.explode("_e").alias("_e")).select(*box, "_e.*")
+    e = _cells_of(df, p, depth, least, [c for c in df.columns if c != p + "o"])
     # A leaf above or at the own level is found as such, leaves further down by the cell of the own level.
     way = F.when(F.col("_own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    e = e.where(F.col("_own") | (F.col("_level") >= least)).withColumn("_way", F.explode(way)).drop("_own")
+    e = e.withColumn("_way", F.explode(way)).drop("_own")
     e = e.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int"))
     met = e.join(routes, ["_way", "_salt", *CELL]).drop("_way", "_salt", *CELL)
     shift = lambda c, d=0: f"shiftleft({c} + {d}, {BITS} * ({depth} - _leaf))"
@@ -99,10 +99,10 @@ def grown_overlay_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolera
         df = df.withColumns({p + "i0": at("x0", x0), p + "j0": at("y0", y0), p + "i1": at("x1", x0), p + "j1": at("y1", y0)})
         # A box turned inside out overlaps nothing.
         df = df.where((F.col(p + "x0") <= F.col(p + "x1")) & (F.col(p + "y0") <= F.col(p + "y1")))
-        return df.withColumn("_e", _cells_of(p, depth))
+        return df.withColumn(p + "o", _own_level(p, depth))
 
     a3, b3 = placed(a2, "_a"), placed(b2, "_b")
-    entries = a3.select(F.inline("_e")).unionAll(b3.select(F.inline("_e")))
+    entries = _cells_of(a3, "_a", depth, 0, []).unionAll(_cells_of(b3, "_b", depth, 0, []))
     path = scratch_dir(spark, "leaves")
     _grown_leaves(entries, leaf_rows, depth).write.parquet(path)
     leaves = spark.read.parquet(path)
@@ -111,7 +111,13 @@ def grown_overlay_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tolera
     up = F.expr(f"inline(transform(sequence(0, _leaf), l -> named_struct('_way', int(l < _leaf), '_level', l, "
                 f"'_cx', shiftright(_lx, {BITS} * (_leaf - l)), '_cy', shiftright(_ly, {BITS} * (_leaf - l)))))")
     routes = leaf.select("_leaf", "_lx", "_ly", up).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    left, right = (_in_leaves(df, p, key, routes, least, depth, salt) for df, p, key in ((a3, "_a", a_id), (b3, "_b", b_id)))
+    sides = []
+    for df, p, key in ((a3, "_a", a_id), (b3, "_b", b_id)):
+        # Written once: crowded leaves are counted before they are joined.
+        path = scratch_dir(spark, "in-leaves")
+        _in_leaves(df, p, key, routes, least, depth, salt).write.parquet(path)
+        sides.append(spark.read.parquet(path))
+    left, right = sides
     met = spread_join(left, right, ["_leaf", "_lx", "_ly", *also_on], hot, a_id, b_id)
     lx, ly = F.greatest("_ax0", "_bx0"), F.greatest("_ay0", "_by0")
     hx, hy = F.least("_ax1", "_bx1"), F.least("_ay1", "_by1")
