@@ -218,3 +218,42 @@ def q_audited(spark, sf):
         {"both_zero": (census == 0) & (dp == 0), "erased": (census == 0) & (dp > 0), "far_apart": F.abs(census - dp) > 1,
          "no_key": F.col("block").isNull() | F.col("race").isNull()})
     return spark.createDataFrame(list(counts.items()), "check string, n long")
+
+
+# --- geography and segments together ------------------------------------------------------------
+
+GEO_LAYOUT = [Field("STUSAB", 2, 1), Field("SUMLEV", 3, 3), Field("LOGRECNO", 7, 6), Field("STATE", 2, 13), Field("COUNTY", 3, 15),
+              Field("TRACT", 6, 18), Field("BLOCK", 4, 24)]
+# Names of the record header.
+HEADER = ["FILEID", "STUSAB", "CHARITER", "CIFSN", "LOGRECNO"]
+
+
+def delivery(spark, sf, label: str, shift: int) -> sources.Extract:
+    """Customers as the records of 25 states, written as a geography and two segments that each lack some records."""
+    base = scratch_dir(spark, f"delivery-{label}")
+    key, state = F.col("c_custkey"), F.col("c_custkey") % 25
+    record = table(spark, sf, "customer").select(
+        key.alias("k"), pad_code(state, 2).alias("STUSAB"), pad_code(F.floor(key / 25), 7).alias("LOGRECNO"),
+        F.when(key % 3 == 0, "050").otherwise("750").alias("SUMLEV"), pad_code(state, 2).alias("STATE"), pad_code(key % 7, 3).alias("COUNTY"),
+        pad_code(key % 101, 6).alias("TRACT"), pad_code(key % 1000, 4).alias("BLOCK"))
+    sources.write_fixed_width(record, f"{base}/geo", GEO_LAYOUT)
+    header = [F.lit("uPL"), F.col("STUSAB"), F.lit("000"), F.lit("01"), F.col("LOGRECNO")]
+    segments = []
+    for number, (prefix, n, without) in enumerate([("P00100", 71, 10), ("H00100", 3, 4)], 1):
+        names = sources.numbered_names(prefix, 1, n)
+        values = [(F.col("k") + shift) % (i + 5) for i in range(n)]
+        record.where(F.col("k") % without != 0).select(*header, *[v.alias(c) for v, c in zip(values, names)]).write.csv(f"{base}/seg{number}")
+        segments.append(sources.Segment(f"{base}/seg{number}", HEADER + names))
+    return sources.Extract(f"{base}/geo", GEO_LAYOUT, segments)
+
+
+@query("extract_segments", """with s(source, shift) as (values ('CENSUS', 0), ('DP', 1)),
+r as (select source, c_custkey k, c_custkey + shift v from customer, s where c_custkey % 3 <> 0 and not (c_custkey % 10 = 0 and c_custkey % 4 = 0))
+select source "SOURCE", printf('%02d', k % 25) "STUSAB", printf('%07d', k // 25) "LOGRECNO", printf('%02d', k % 25) "STATE", printf('%03d', k % 7) "COUNTY",
+ printf('%04d', k % 1000) "BLOCK", '750' "SUMLEV", case when k % 10 <> 0 then cast(v % 7 as bigint) end white, case when k % 10 <> 0 then cast(v % 75 as bigint) end last_race,
+ case when k % 4 <> 0 then cast(v % 6 as bigint) end occupied from r""")
+def q_extract(spark, sf):
+    """Blocks of all states in two deliveries, each of a geography and two segments that hold part of the counts."""
+    deliveries = {label: delivery(spark, sf, label, shift) for label, shift in (("CENSUS", 0), ("DP", 1))}
+    counts = {"P0010003": "white", "P0010071": "last_race", "H0010002": "occupied"}
+    return sources.stack_extracts(spark, deliveries, counts, ["750"], ["STATE", "COUNTY", "BLOCK"])

@@ -558,6 +558,31 @@ def test_scope_opens_only_its_folders(spark):
     assert "dynamicpruning" in plan and "sumlev#" in plan.split("PartitionFilters", 1)[1]
 
 
+def test_extract_joins_by_state_and_record(spark):
+    base = scratch_dir(spark, "x")
+    layout = [sources.Field("STUSAB", 2, 1), sources.Field("SUMLEV", 3, 3), sources.Field("LOGRECNO", 3, 6), sources.Field("COUNTY", 3, 9)]
+    geo = [("AL", "750", "001", "005"), ("AL", "750", "002", "007"), ("AL", "050", "003", "005"), ("AK", "750", "001", "009"), ("AK", "750", "009", "009")]
+    sources.write_fixed_width(spark.createDataFrame(geo, "STUSAB string, SUMLEV string, LOGRECNO string, COUNTY string"), f"{base}/geo", layout)
+    one = [("AL", "001", 1, 10), ("AL", "003", 3, 30), ("AK", "001", 4, 40), ("AZ", "001", 5, 50)]
+    two = [("AL", "001", 100), ("AL", "002", 200)]
+    spark.createDataFrame(one, "s string, r string, a int, b int").write.csv(f"{base}/one")
+    spark.createDataFrame(two, "s string, r string, c int").write.csv(f"{base}/two")
+    record = ["STUSAB", "LOGRECNO"]
+    x = sources.Extract(f"{base}/geo", layout, [sources.Segment(f"{base}/one", [*record, "A", "B"]), sources.Segment(f"{base}/two", [*record, "C"])])
+    df = sources.read_extract(spark, x, {"B": "b", "C": "c"}, ["750"], ["COUNTY"])
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    # AK 009 is in no segment, AL 003 of another level, AZ without geography; codes keep their zeros.
+    assert df.columns == [*record, "COUNTY", "SUMLEV", "b", "c"]
+    assert got == [("AK", "001", "009", "750", 40, None), ("AL", "001", "005", "750", 10, 100), ("AL", "002", "007", "750", None, 200)]
+    assert sources.read_extract(spark, x, {"C": "c"}, ["750", "050"], []).count() == 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<STUSAB:string,LOGRECNO:string,B:bigint>" in plan
+    with pytest.raises(ValueError):
+        sources.read_extract(spark, x, {"D": "d"}, ["750"], [])
+    with pytest.raises(ValueError):
+        sources.stack_extracts(spark, {}, {"B": "b"}, ["750"], [])
+
+
 def test_type_codes_must_match_names():
     with pytest.raises(ValueError):
         sources.schema_from_codes(["a", "b"], "c")
