@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ BLOCK = 1 << 20
 #: Texts whose new words are encoded together; pieces that a worker remembers.
 TEXTS, KNOWN = 64, 1_500_000
 NO_KEY = np.iinfo(np.int64).min
+#: Characters of a text that its range is chosen by, beside its key.
+HEAD = 64
 
 
 def _filesystem(path: str):
@@ -92,11 +95,11 @@ def write_tokens(
     A part holds a range of keys in three flat files: ``.ids`` (unsigned 16- or 32-bit little-endian, by
     vocabulary size), ``.offsets`` (unsigned 64-bit, the place of each document's first id in the part, and the
     end) and ``.keys`` (signed 64-bit; the least number stands for null). The index adds ``base``, the ids in all parts before it:
-    a prefix sum over parts, so no document passes through the driver. Each attempt of a task writes files of
+    a prefix sum over parts in the order of their ranges, so no document passes through the driver. Each attempt of a task writes files of
     a new name and only the attempt that Spark commits is in the index: a lost executor leaves nothing wrong.
 
-    Null text is empty; each document ends with ``end_id``. Null keys come first; equal keys stay together,
-    in text order. No rows: an empty index.
+    Null text is empty; each document ends with ``end_id``. Null keys come first; documents of one key (or none) follow each
+    other in text order, and may fill several parts. No rows: an empty index.
     """
     from tokenizers import Tokenizer
 
@@ -133,14 +136,16 @@ def write_tokens(
                 f.write(array.tobytes())
         if len(keys):
             yield pa.RecordBatch.from_pydict(
-                {"part": [part], "first_key": [int(keys[0])], "n_docs": [len(keys)], "n_tokens": [at]})
+                {"part": [part], "place": [TaskContext.get().partitionId()], "first_key": [int(keys[0])], "n_docs": [len(keys)], "n_tokens": [at]})
 
     system, base = _filesystem(path)
     system.create_dir(base, recursive=True)
+    # Ranges of key and how the text begins, which agrees with text order: many documents of one key are no single task.
+    first = F.col("key").asc_nulls_first()
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(
-        F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    parts = store(ordered.mapInArrow(write, "part string, first_key long, n_docs long, n_tokens long"), "parts")
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
+        first, F.substring("text", 1, HEAD).asc_nulls_first()).sortWithinPartitions(first, F.col("text").asc_nulls_first())
+    parts = store(ordered.mapInArrow(write, "part string, place long, first_key long, n_docs long, n_tokens long"), "parts")
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     index = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("dtype", F.lit(dtype))
     index.write.parquet(f"{path}/index")
     return docs.sparkSession.read.parquet(f"{path}/index")
