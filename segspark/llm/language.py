@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from segspark.llm.common import bounded_batches, documents
 
 #: Bytes of a window; embedding width; filter widths and filters of each; most documents per language, windows of
-#: each that training takes; passes over them; step size.
+#: each that training takes; passes over them; step size. Most documents of all languages together.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 PER_LANGUAGE, SPOTS, EPOCHS, STEP, SEED = 200, 3, 12, 4e-3, 7
+MOST = 20_000
 #: Windows that are classified at once.
 BATCH = 256
 UNKNOWN = "und"
@@ -102,24 +103,28 @@ def windows(data: bytes) -> np.ndarray:
 
 def training_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-    per_language: int = PER_LANGUAGE,
+    per_language: int = PER_LANGUAGE, most: int = MOST,
 ) -> DataFrame:
-    """A bounded sample of labelled documents: ``per_language`` of each label.
+    """A bounded sample of labelled documents: ``per_language`` of each label, fewer where labels are so many that this exceeds ``most``.
 
-    Chosen on key, label and length alone, by hash; texts are fetched only for the chosen keys, at most
-    ``per_language`` times the number of labels, and cut to the bytes that training looks at.
+    Every label has one document at least, so the sample holds no more than ``most`` or one of each label. Chosen
+    on key and label alone, by hash; texts are fetched only for the chosen keys and cut to the bytes that training
+    looks at.
     """
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, label)
+    labels = known.agg(F.count_distinct(label)).first()[0]
+    each = max(1, min(per_language, most // max(1, labels)))
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
     chosen = (
-        known.withColumn("_place", place).filter(F.col("_place") <= per_language).select(key).distinct()
+        known.withColumn("_place", place).filter(F.col("_place") <= each).select(key).distinct()
     )
     # Several spots of a long text, so that a foreign head or tail counts for little.
     raw = F.encode(text, "UTF-8")
     room = F.greatest(F.octet_length(text) - WINDOW, F.lit(0))
     spots = F.array(*[
         F.substring(raw, (F.floor(room * (i / max(1, SPOTS - 1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(SPOTS)])
-    return docs.join(F.broadcast(chosen), key, "left_semi").filter(F.col(label).isNotNull()).select(
+    few = F.broadcast(chosen) if labels <= most else chosen
+    return docs.join(few, key, "left_semi").filter(F.col(label).isNotNull()).select(
         key, label, spots.alias("spots"))
 
 
