@@ -51,6 +51,28 @@ def test_token_files(result, edge_docs, library):
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == want
 
 
+def test_token_files_of_documents_without_a_key(spark, tmp_path, library):
+    """A third of the rows has no key: several parts, no text lost, starts without gaps, text order inside a key."""
+    texts = sorted(f"{i % 97} word{i} and more" for i in range(3000))
+    docs = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        index = token_files.write_tokens(docs, f"file:{tmp_path}/none", bpe.tokenizer_path(bpe.TOKENIZER))
+    finally:
+        spark.conf.set(merge, "true")
+    parts = index.where(f"first_key = {token_files.NO_KEY}").collect()
+    assert len(parts) > 1 and max(r["n_docs"] for r in parts) < 1200
+    rows = sorted(token_files.read_tokens(spark, f"file:{tmp_path}/none").collect(), key=lambda r: r["start"])
+    want = [(None if i % 3 else i, t) for i, t in enumerate(texts)]
+    want = [r for r in want if r[0] is None] + [r for r in want if r[0] is not None]
+    start = 0
+    for r, (key, text) in zip(rows, want, strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids + [1]
+        assert (r["key"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) == (key, start, ids)
+        start += len(ids)
+
+
 def test_token_files_of_another_tokenizer(spark, tmp_path):
     """A file that is not cut at white space gets whole texts; blocks of a part follow each other."""
     from tokenizers import Tokenizer
@@ -337,6 +359,25 @@ def test_language(spark, result, edge_docs):
 def test_every_language_is_learned(spark):
     docs = spark.range(140).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 70) AS lang")
     assert len({r["lang"] for r in language.training_documents(docs).select("lang").collect()}) == 70
+    # Fewer of each label where labels are many; never none.
+    for most, each in ((70, 1), (140, 2), (10, 1)):
+        rows = language.training_documents(docs, most=most).groupBy("lang").count().collect()
+        assert len(rows) == 70 and {r["count"] for r in rows} == {each}
+
+
+def test_network_by_plain_loops():
+    net = language.ByteNetwork(["a", "b", "c"], seed=3)
+    x = language.windows("Größe und Länge".encode() * 30)
+    for got, row in zip(net.forward(x), x, strict=True):
+        pooled = []
+        for w in language.WIDTHS:
+            for f in range(language.FILTERS):
+                best = max(sum(float(net.weights["embed"][row[i + j], k]) * float(net.weights[f"filter{w}"][j * language.EMBED + k, f])
+                               for j in range(w) for k in range(language.EMBED)) for i in range(language.WINDOW - w + 1))
+                pooled.append(max(0.0, best + float(net.weights[f"bias{w}"][f])))
+        z = [sum(h * float(o) for h, o in zip(pooled, net.weights["out"][:, c])) + float(net.weights["out_bias"][c]) for c in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(got, e / e.sum(), atol=1e-4)
 
 
 def test_gradients():
