@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segspark.session import scratch_dir
+
 
 def expand_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "k",
                   chunk: int = 4096, copies: tuple[str, int] | None = None) -> DataFrame:
@@ -33,57 +35,121 @@ def expand_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "k"
     return rows.drop("_v", "_c")
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def permuted_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str, value: str,
                    n_sims: int, seed: int, carry: Sequence[str] = (),
-                   bucket_rows: int = 50_000, block: int = 8_192, counted: bool = True) -> DataFrame:
+                   bucket_rows: int = 250_000, block: int = 4_096, spread: float = 6.0, counted: bool = True, wide: Sequence[str] | None = None) -> DataFrame:
     """Counts per (sim, stratum, leaf, group) after a random pairing of people and places.
 
     Everybody of a leaf gets a rank by the digest of (seed, sim, leaf, number), and the groups
     take the ranks in turn, each as many as it counts. The digest makes the draw the same on
     every run, whatever the partitioning, and after a lost executor.
 
-    No large stratum is sorted as a whole. Ranks come from ranges of the digest: rows per range,
-    a running sum over the ranges, and a row number inside each. How many ranges a stratum gets
-    grows with its size. Groups own intervals of ranks; both sides meet on blocks of ranks.
-    ``carry`` are columns of the leaf (such as its mid) to keep. ``counted=False`` leaves one row
-    per person with value 1, for a measure that sums the cells itself.
+    No row of a person is exchanged or sorted. A group begins at one digest, its mark; with the marks known, a person's group
+    follows from the own digest. Digests lie evenly, so a mark lies near its share of all digests: one pass counts the
+    digests between the places where marks may lie (``spread`` standard deviations to either side, about sqrt(N) of a
+    stratum's N people) and keeps only the digests in these places, whose ranks follow from a running sum. A mark that lies
+    elsewhere is found from all digests of its simulation and stratum. A second pass makes the digests again and compares.
+
+    Leaves are spread over tasks before they are expanded, those above ``block`` people in pieces; a task counts about ``bucket_rows``
+    pairs of leaf and simulation. ``carry`` are columns of the leaf (such as its mid) to keep. ``counted=False`` leaves one row
+    per person with value 1. ``wide`` lists groups: one row per (sim, stratum, leaf) with a column for
+    each of them, NULL where it has nobody. Rows without a stratum are left out.
     """
     strata, carry = list(strata), list(carry)
-    filled = cells.where(F.col(value) > 0)
-    leaves = filled.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
-    margins = filled.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n"))
-
-    totals = leaves.groupBy(*strata).agg(F.sum("_v").alias("_N"))
-    # Hex digits of the digest that name the range: 16^digits ranges of about bucket_rows.
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("_N") / bucket_rows) / F.log(F.lit(16.0)))).cast("int")
-    sized = leaves.join(totals.select(*strata, digits.alias("_d")), strata)
-    people = expand_counts(sized, [*strata, leaf, *carry, "_d"], "_v", "_k", copies=("sim", n_sims))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sim"), F.col(leaf), F.col("_k")))
-    people = people.withColumn("_ord", digest)
-    by_range = ["sim", *strata, "_b"]
-    people = people.withColumn("_b", F.substring(F.col("_ord"), F.lit(1), F.col("_d")))
-    inside = Window.partitionBy(*by_range).orderBy("_ord", leaf, "_k")
-    ranked = people.withColumn("_rank", F.row_number().over(inside).cast("long"))
-    per_range = people.groupBy(*by_range).agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy("sim", *strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*by_range, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"))
-    ranked = ranked.join(offsets, by_range).withColumn("_rank", F.col("_rank") + F.col("_off"))
-    ranked = ranked.withColumn("_block", F.floor((F.col("_rank") - 1) / block))
-
-    # One row per group of a stratum.
+    spark = cells.sparkSession
+    keys = [*strata, leaf, *carry]
+    filled = _stored(cells.where(F.col(value) > 0).select(*dict.fromkeys([*keys, group]), F.col(value).cast("long").alias("_n")), "filled")
+    # People with one digest (of a leaf given with two mids) are told apart by what the leaf carries.
+    tie = F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}) if carry else F.lit("")
+    leaves = filled.groupBy(*keys).agg(F.sum("_n").alias("_v")).withColumn("_t", tie)
+    margins = filled.groupBy(*strata, group).agg(F.sum("_n").alias("_n"))
+    # One row per stratum: its groups in order, and how many people come before each group but the first.
     w = Window.partitionBy(*strata).orderBy(group)
-    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = margins.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n") + 1)
-    spans = spans.withColumn(
-        "_block", F.explode(F.sequence(F.floor((F.col("_from") - 1) / block), F.floor((F.col("_to") - 1) / block)))
-    ).select(*strata, group, "_from", "_to", "_block")
-
-    paired = ranked.join(spans, [*strata, "_block"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") <= F.col("_to"))
-    )
-    if not counted:
-        return paired.select("sim", *strata, leaf, *carry, group, F.lit(1).cast("long").alias("value"))
-    return paired.groupBy("sim", *strata, leaf, *carry, group).agg(F.count(F.lit(1)).alias("value"))
+    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ordered = margins.select(*strata, group, "_n", F.coalesce(before, F.lit(0)).alias("_from"))
+    tops = _stored(ordered.groupBy(*strata).agg(
+        F.sum("_n").alias("_N"), F.sort_array(F.collect_list(F.struct("_from", group))).alias("_g")
+    ).select(*strata, "_N", F.col(f"_g.{group}").alias("_groups"), F.col("_g._from").alias("_from")), "strata")
+    most, n_leaves = (tops.agg(F.max(F.size("_from"))).first()[0] or 1), leaves.count()
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-n_leaves * n_sims // bucket_rows))
+
+    def spread_out(rows: DataFrame) -> DataFrame:
+        """Pieces of at most ``block`` people, numbered ``_lo`` to ``_hi``."""
+        rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_v") - 1) / block))))
+        rows = rows.withColumn("_lo", F.col("_c") * block + 1).withColumn("_hi", F.least("_v", (F.col("_c") + 1) * block))
+        return rows.drop("_c", "_v")
+
+    def people(rows: DataFrame, sims: DataFrame, *more: str) -> DataFrame:
+        """One row per person and simulation with the digest; ``sims`` has per stratum the array ``_sims`` of structs."""
+        rows = rows.join(sims, strata).select(*keys, "_lo", "_hi", "_t", *more, F.inline("_sims"))
+        rows = rows.withColumn("_p", F.concat(F.concat_ws("|", F.lit(str(seed)), F.col("sim"), F.col(leaf)), F.lit("|")))
+        rows = rows.withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
+        digest = F.md5(F.concat("_p", F.col("_k").cast("string")))
+        return rows.withColumn("_ord", F.concat(digest, "_t") if carry else digest)
+
+    def passed(marks: str) -> Column:
+        """How many of the marks do not come after the digest."""
+        if most > 32:
+            return F.size(F.filter(marks, lambda m: m <= F.col("_ord")))
+        return sum((F.coalesce((F.get(marks, F.lit(i)) <= F.col("_ord")).cast("int"), F.lit(0)) for i in range(most - 1)), F.lit(0))
+
+    # Places where marks may lie, as hex digits; "g" comes after all digests.
+    share = lambda b: b / F.col("_N")
+    reach = lambda b: F.sqrt(share(b) * (1 - share(b)) / F.col("_N")) * spread
+    digits = lambda x: F.when(x >= 1, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(F.floor(F.greatest(x, F.lit(0.0)) * 2.0**32)), 8, "0")))
+    later = F.slice("_from", 2, F.greatest(F.size("_from") - 1, F.lit(0)))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: F.struct(s.alias("sim")))
+    places = tops.select(*strata, numbers.alias("_sims"), F.transform(later, lambda b: digits(share(b) - reach(b))).alias("_low"),
+                         F.transform(later, lambda b: digits(share(b) + reach(b))).alias("_high"))
+    pieces = spread_out(leaves).repartition(parts, *keys, "_lo")
+    tried = people(pieces, places, "_low", "_high")
+    # A place is left when its upper end has been passed; before the next one, digests are only counted.
+    tried = tried.withColumn("_in", passed("_low")).withColumn("_out", passed("_high"))
+    at = F.when(F.col("_in") > F.col("_out"), F.col("_ord")).when(F.col("_out") > 0, F.get("_high", F.col("_out") - 1)).otherwise(F.lit(""))
+    tally = tried.groupBy("sim", *strata, at.alias("_at")).agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy("sim", *strata).orderBy("_at")
+    before = F.coalesce(F.sum("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tally = tally.select("*", before.alias("_before"), F.coalesce(F.lag("_at").over(w), F.lit("")).alias("_last"))
+    short = F.coalesce(*[F.when(F.left("_at", F.lit(n)) > F.col("_last"), F.left("_at", F.lit(n))) for n in (8, 16)], F.col("_at"))
+    tally = tally.join(tops.select(*strata, later.alias("_from")), strata)
+    tally = tally.where((F.col("_m") > 1) | F.array_contains("_from", F.col("_before")))
+    marks = tally.select("sim", *strata, "_m", "_before", short.alias("_mark"), F.posexplode("_from").alias("_i", "_b"))
+    marks = _stored(marks.where((F.col("_b") >= F.col("_before")) & (F.col("_b") < F.col("_before") + F.col("_m"))), "marks")
+    missed = marks.where(F.col("_b") > F.col("_before")).select("sim", *strata, "_i", "_b")
+    marks = marks.where(F.col("_b") == F.col("_before")).select("sim", *strata, "_i", "_mark")
+    if not missed.isEmpty():
+        sims = missed.groupBy(*strata).agg(F.array_distinct(F.collect_list(F.struct("sim"))).alias("_sims"))
+        ranked = people(pieces, sims).withColumn("_b", F.row_number().over(Window.partitionBy("sim", *strata).orderBy("_ord")).cast("long") - 1)
+        marks = _stored(marks.unionByName(ranked.join(missed, ["sim", *strata, "_b"]).select("sim", *strata, "_i", F.col("_ord").alias("_mark"))), "marks")
+
+    of_sim = marks.groupBy(*strata, "sim").agg(F.sort_array(F.collect_list(F.struct("_i", "_mark"))).alias("_m"))
+    of_sim = of_sim.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct("sim", F.col("_m._mark").alias("_marks")))).alias("_sims"))
+    none = F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), lambda s: F.struct(s.alias("sim"), F.array().cast("array<string>").alias("_marks")))
+    known = tops.join(of_sim, strata, "left").withColumn("_sims", F.coalesce("_sims", none))
+    if wide is None:
+        paired = people(pieces, _stored(known.select(*strata, "_groups", "_sims"), "known"), "_groups").select("sim", *keys, F.get("_groups", passed("_marks")).alias(group))
+        if not counted:
+            return paired.withColumn("value", F.lit(1).cast("long"))
+        return paired.groupBy("sim", *keys, group).agg(F.count(F.lit(1)).alias("value"))
+
+    # The place of every named group among those of the stratum.
+    at = {g: f"_at{i}" for i, g in enumerate(wide)}
+    known = _stored(known.select(*strata, "_sims", *[(F.array_position("_groups", F.lit(g)) - 1).cast("int").alias(c) for g, c in at.items()]), "known")
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        rows = people(rows, known, *at.values()).withColumn("_g", passed("_marks"))
+        return rows.groupBy("sim", *keys).agg(*[F.nullif(F.count(F.when(F.col("_g") == F.col(c), 1)), F.lit(0).cast("long")).alias(g) for g, c in at.items()])
+
+    # Whole leaves are counted where they lie; only those in several pieces are exchanged.
+    whole = spread_out(leaves.where(F.col("_v") <= block)).repartition(parts, *strata, leaf)
+    cut = spread_out(leaves.where(F.col("_v") > block)).repartition(parts, *keys, "_lo")
+    return vectors(whole).unionByName(vectors(cut))
 
 
 def split_counts(rng: np.random.Generator, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

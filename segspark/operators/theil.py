@@ -181,16 +181,18 @@ def decompose(
     focal: str | None = None,
     with_rest: bool = False,
     guard_total: bool = False,
+    wide: bool = False,
 ) -> DataFrame:
     """H, its within/between-mid split and, with ``focal``, the focal-against-rest part.
 
     ``guard_total=False`` makes a scope undefined as soon as one of its groups counts nothing
     there; ``True`` treats such a group as absent. ``with_rest`` adds ``Hwg``, the part of H
-    among the other groups (``Hbg + Hwg = H``).
+    among the other groups (``Hbg + Hwg = H``). ``wide``: ``cells`` has one row per leaf and a column per group
+    of ``groups``, NULL where the leaf has no row of it; leaves are then not gathered again.
     """
     if groups is None:
         return _decompose_rows(cells, h, focal, with_rest, guard_total)
-    return from_sums(mid_sums(cells, h, groups, focal, with_rest), h, groups, focal, with_rest, guard_total)
+    return from_sums(mid_sums(cells, h, groups, focal, with_rest, wide=wide), h, groups, focal, with_rest, guard_total)
 
 
 def _sum_names(n_sources: int, focal: str | None, with_rest: bool) -> list[str]:
@@ -205,7 +207,7 @@ def _carry(n_groups: int, n_sources: int) -> list[Column]:
 
 def mid_sums(
     cells: DataFrame, h: Hierarchy, groups: Sequence[str], focal: str | None = None, with_rest: bool = False,
-    part: Sequence[str] = (),
+    part: Sequence[str] = (), wide: bool = False,
 ) -> DataFrame:
     """One row per scope and mid (and ``part``): group totals and sums over its leaves, from which every measure follows.
 
@@ -215,7 +217,12 @@ def mid_sums(
     G, values = len(groups), list(h.sources.values())
     fi = groups.index(focal) if focal is not None else None
     keys = [*part, *h.scope_cols, *([h.mid] if h.mid else [])]
-    leaves = leaf_vectors(cells, [*keys, *h.leaf_cols], h.group, groups, values)
+    if wide:
+        if len(values) != 1:
+            raise ValueError("wide cells have one source")
+        leaves = cells.select(*keys, *[F.col(g).alias(_vec(i, 0)) for i, g in enumerate(groups)], F.lit(0).alias(_bad(0)))
+    else:
+        leaves = leaf_vectors(cells, [*keys, *h.leaf_cols], h.group, groups, values)
     sums = {}
     for s in range(len(values)):
         sums[f"_leaf{s}"] = mass_text(_cols(G, s))

@@ -17,9 +17,9 @@ def null_measures(spark, sf, strata: list[str]):
     """H and its splits for every simulated table; the simulation is one more scope column."""
     cells = reshape.both_zero_dropped(cell(spark, sf), "census", "dp").where(F.col("race").isin(FOUR))
     carry = [] if "tract" in strata else ["tract"]
-    sims = permuted_cells(cells, strata, "block", "race", "census", N_SIMS, SEED, carry, counted=False)
+    sims = permuted_cells(cells, strata, "block", "race", "census", N_SIMS, SEED, carry, wide=FOUR)
     h = theil.Hierarchy(scope=["cbsa", "sim"], mid="tract", leaf=["block"], group="race", sources={None: "value"})
-    out = theil.decompose(sims, h, FOUR, focal=FOCAL)
+    out = theil.decompose(sims, h, FOUR, focal=FOCAL, wide=True)
     out = out.withColumn("name", F.format_string("SIM%03d", "sim")).drop("sim")
     return rounded_cols(out, [*CORE, "Hbg", "Pbg"])
 
