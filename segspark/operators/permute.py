@@ -177,7 +177,7 @@ def split_counts(rng: np.random.Generator, counts: np.ndarray, sizes: np.ndarray
 
 
 def drawn_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str, value: str, n_sims: int, seed: int,
-                carry: Sequence[str] = (), bucket: int = 512, sims_at_once: int = 10) -> DataFrame:
+                carry: Sequence[str] = (), bucket: int = 512, sims_at_once: int = 10, wide: Sequence[str] | None = None) -> DataFrame:
     """As ``permuted_cells`` in distribution, drawn from the counts without a row for any person.
 
     With both margins of a stratum fixed, a random pairing of people and places is a table drawn by hypergeometric splits. Leaves fall into
@@ -185,11 +185,13 @@ def drawn_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str,
     bucket), then every bucket is split over its leaves, all buckets apart, so a stratum of any size is many tasks' work. Random
     numbers are counter-based, keyed by seed, stratum, bucket and block of ``sims_at_once`` simulations: a lost task
     draws the same again. A null stratum is a stratum; leaves and groups without people have no rows. A stratum may count up to 10^9 people.
+    ``wide`` lists groups: one row per (sim, stratum, leaf) with a column for each of them, NULL where it has nobody.
     """
     strata, carry = list(strata), list(carry)
-    filled = cells.where(F.col(value) > 0)
+    # Written once: the buckets, both margins and the size of the largest stratum come from it.
+    filled = _stored(cells.where(F.col(value) > 0).select(*dict.fromkeys([*strata, leaf, *carry, group, value])), "filled")
     leaves = filled.groupBy(*strata, leaf, *carry).agg(F.sum(value).cast("long").alias("_v"))
-    most = leaves.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    most, n_leaves = (x or 1 for x in leaves.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first())
     held = leaves.withColumn("_b", F.pmod(F.xxhash64(leaf, *carry), F.lit(-(-most // bucket)).cast("long"))).groupBy(*strata, "_b").agg(
         F.sum("_v").alias("_m"), F.array_sort(F.collect_list(F.struct(leaf, *carry, "_v"))).alias("_leaves"))
     margins = filled.groupBy(*strata, group).agg(F.sum(value).cast("long").alias("_n")).groupBy(*strata).agg(
@@ -234,6 +236,16 @@ def drawn_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str,
                 first = batch.column("_sim")[r].as_py()
                 drawn = batch.column("_drawn")[r].values.to_numpy(zero_copy_only=False).reshape(sims(first), len(people))
                 got = split_counts(generator(batch.column("_h")[r].as_py()), drawn, homes.field("_v").to_numpy(zero_copy_only=False))
+                if wide is not None:
+                    kinds_here, k = people.field(group).to_pylist(), len(homes)
+                    home, again = pa.array(np.tile(np.arange(k), len(got))), pa.array(np.full(len(got) * k, r))
+                    flat = got.reshape(len(got) * k, -1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.arange(first, first + len(got), dtype=np.int32), k)), *[batch.column(s).take(again) for s in strata],
+                         *[homes.field(c).take(home) for c in [leaf, *carry]],
+                         *[pa.array(x, mask=x == 0) for g in wide for x in [flat[:, kinds_here.index(g)] if g in kinds_here else np.zeros(len(flat), np.int64)]]],
+                        ["sim", *strata, leaf, *carry, *wide])
+                    continue
                 sim, home, kind = np.nonzero(got)
                 again = pa.array(np.full(len(sim), r))
                 yield pa.RecordBatch.from_arrays(
@@ -246,4 +258,8 @@ def drawn_cells(cells: DataFrame, strata: Sequence[str], leaf: str, group: str,
     groups = dict(starts.dtypes)["_groups"]
     dealt = key(starts).mapInArrow(over_buckets, f"{named(strata)}, _b bigint, _sim int, _groups {groups}, _drawn array<bigint>")
     rows = same(dealt, held.select(*strata, "_b", "_leaves"), [*strata, "_b"])
-    return key(rows, F.col("_b")).mapInArrow(over_leaves, f"sim int, {named([*strata, leaf, *carry, group])}, value bigint")
+    # Buckets are small to hold and long to deal out: they are spread by number of tables to draw, not by bytes.
+    parts = max(4 * cells.sparkSession.sparkContext.defaultParallelism, -(-n_leaves * n_sims // 250_000))
+    rows = rows.repartition(parts, *strata, "_b", "_sim")
+    out = f"{named([group])}, value bigint" if wide is None else ", ".join(f"`{g}` bigint" for g in wide)
+    return key(rows, F.col("_b")).mapInArrow(over_leaves, f"sim int, {named([*strata, leaf, *carry])}, {out}")

@@ -47,16 +47,16 @@ def q_null_stratified(spark, sf):
     return null_measures(spark, sf, ["cbsa", "tract"])
 
 
-def drawn(spark, sf, strata: list[str]):
+def drawn(spark, sf, strata: list[str], wide: list[str] | None = None):
     cells = reshape.both_zero_dropped(cell(spark, sf), "census", "dp").where(F.col("race").isin(FOUR))
     carry = [] if "tract" in strata else ["tract"]
-    return drawn_cells(cells, strata, "block", "race", "census", N_SIMS, SEED, carry)
+    return drawn_cells(cells, strata, "block", "race", "census", N_SIMS, SEED, carry, wide=wide)
 
 
 def drawn_measures(spark, sf, strata: list[str]):
     """As ``null_measures``, from tables drawn at the level of counts."""
     h = theil.Hierarchy(scope=["cbsa", "sim"], mid="tract", leaf=["block"], group="race", sources={None: "value"})
-    out = theil.decompose(drawn(spark, sf, strata), h, FOUR, focal=FOCAL)
+    out = theil.decompose(drawn(spark, sf, strata, FOUR), h, FOUR, focal=FOCAL, wide=True)
     return rounded_cols(out.withColumn("name", F.format_string("SIM%03d", "sim")).drop("sim"), [*CORE, "Hbg", "Pbg"])
 
 

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -216,6 +218,60 @@ def test_permutation_keeps_margins(spark, strata):
     assert plain.count() == out.agg(F.sum("value")).first()[0]
 
 
+def person_by_person(df, strata, carry, sims, seed):
+    """Rank everybody of a stratum by digest, and hand the groups out in order."""
+    rows = [r for r in df.collect() if r.n and all(r[k] is not None for k in strata)]
+    out = Counter()
+    for stratum in {tuple(r[k] for k in strata) for r in rows}:
+        here = [r for r in rows if tuple(r[k] for k in strata) == stratum]
+        homes, kinds = Counter(), []
+        for r in here:
+            homes[(r.block, *(r[c] for c in carry))] += r.n
+        for r in sorted(here, key=lambda r: r.race):
+            kinds += [r.race] * r.n
+        for sim in range(sims):
+            people = sorted((hashlib.md5(f"{seed}|{sim}|{home[0]}|{k}".encode()).hexdigest(), home) for home, n in homes.items() for k in range(1, n + 1))
+            out.update((sim, *stratum, *home, kind) for (_, home), kind in zip(people, kinds))
+    return out
+
+
+@pytest.mark.parametrize("strata", [["scope"], ["scope", "tract"]])
+@pytest.mark.parametrize("spread", [6.0, 0.0])
+def test_permutation_by_marks_is_person_by_person(spark, strata, spread):
+    """Also where no mark lies where it is looked for, a leaf is cut in pieces, a stratum has one group, or is null (left out)."""
+    more = [("u", "t9", "c1", "y", 5), ("u", "t9", "c2", "y", 4), (None, "t9", "d", "x", 3), ("v", "t8", "e", "z", 1), ("v", "t8", "e", "x", 0)]
+    df = cells(spark).unionByName(spark.createDataFrame(more, "scope string, tract string, block string, race string, n int"))
+    carry = [c for c in ["tract"] if c not in strata]
+    names = ["sim", *strata, "block", *carry]
+    want = person_by_person(df, strata, carry, 3, 11)
+    long = permute.permuted_cells(df, strata, "block", "race", "n", 3, 11, carry, block=50, spread=spread)
+    assert {tuple(r[k] for k in [*names, "race"]): r.value for r in long.collect()} == want
+    wide = permute.permuted_cells(df, strata, "block", "race", "n", 3, 11, carry, block=50, spread=spread, wide=["z", "none", "x", "y"]).collect()
+    assert {(*(r[k] for k in names), g): r[g] for r in wide for g in "xyz" if r[g] is not None} == want
+    assert all(r["none"] is None for r in wide) and len(wide) == len({k[:-1] for k in want})
+
+
+def test_permutation_of_a_leaf_with_two_mids_keeps_margins(spark):
+    """Its people have equal digests; every mark still parts them exactly."""
+    rows = [("s", t, f"b{i}", g, 7) for t in ("t1", "t2") for i in range(5) for g in "xyz"] + [("s", None, "b0", "x", 9)]
+    df = spark.createDataFrame(rows, "scope string, tract string, block string, race string, n int")
+    got = permute.permuted_cells(df, ["scope"], "block", "race", "n", 20, 11, ["tract"], wide=list("xyz")).groupBy("sim").agg(*[F.sum(g).alias(g) for g in "xyz"])
+    assert [(r.x, r.y, r.z) for r in got.collect()] == [(79, 70, 70)] * 20
+
+
+@pytest.mark.parametrize("make", [permute.permuted_cells, permute.drawn_cells])
+def test_wide_simulations_measure_alike(spark, make):
+    """One row per leaf with a column per group gives the measures of the rows per group, without an exchange of leaves."""
+    from segspark.operators import theil
+
+    df = cells(spark)
+    h = theil.Hierarchy(scope=["scope", "sim"], mid="tract", leaf=["block"], group="race", sources={None: "value"})
+    long = theil.decompose(make(df, ["scope"], "block", "race", "n", 4, 11, ["tract"]), h, list("xyz"), focal="x")
+    wide = theil.decompose(make(df, ["scope"], "block", "race", "n", 4, 11, ["tract"], wide=list("xyz")), h, list("xyz"), focal="x", wide=True)
+    rounded = lambda out: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.collect()}
+    assert rounded(wide) == rounded(long) and wide.count() == 4
+
+
 @pytest.mark.parametrize("strata", [["scope"], ["scope", "tract"]])
 def test_drawn_tables_keep_margins(spark, strata):
     """Every simulated table has both margins, whatever the buckets; a null stratum is one."""
